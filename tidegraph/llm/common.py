@@ -36,3 +36,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, without its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder of the shared file system, whichever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
