@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, quality_rules
+from . import compression_classifier, html_extract, language_id, quality_rules, warc
 
 QUERIES = {
+    "op3_html_extract": html_extract.op3,
+    "op7_warc": warc.op7,
+    "op8_language_id": language_id.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_compression_classifier": compression_classifier.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE}
