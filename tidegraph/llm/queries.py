@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, html_extract, language_id, quality_rules, warc
+from . import compression_classifier, decontaminate, html_extract, language_id, minhash, quality_rules, warc
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1,
     "op3_html_extract": html_extract.op3,
+    "op4_minhash": minhash.op4,
     "op7_warc": warc.op7,
     "op8_language_id": language_id.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_compression_classifier": compression_classifier.op10,
 }
 
-ORACLES: dict[str, str] = {"op7_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE}
