@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, decontaminate, html_extract, language_id, minhash, quality_rules, warc
+from . import compression_classifier, decontaminate, html_extract, language_id, line_dedup, minhash, quality_rules, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op3_html_extract": html_extract.op3,
     "op4_minhash": minhash.op4,
+    "op6_line_dedup": line_dedup.op6,
     "op7_warc": warc.op7,
     "op8_language_id": language_id.op8,
     "op9_quality_rules": quality_rules.op9,
