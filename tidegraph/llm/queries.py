@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import compression_classifier, decontaminate, html_extract, language_id, line_dedup, minhash, quality_rules, warc
+from . import attention_lm, compression_classifier, decontaminate, html_extract, language_id, line_dedup, minhash, quality_rules, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
+    "op2_attention_lm": attention_lm.op2,
     "op3_html_extract": html_extract.op3,
     "op4_minhash": minhash.op4,
     "op6_line_dedup": line_dedup.op6,
