@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import attention_lm, compression_classifier, decontaminate, html_extract, language_id, line_dedup, minhash, quality_rules, warc
+from . import attention_lm, compression_classifier, decontaminate, html_extract, language_id, line_dedup, minhash, mixing, quality_rules, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_attention_lm": attention_lm.op2,
     "op3_html_extract": html_extract.op3,
     "op4_minhash": minhash.op4,
+    "op5_mixing": mixing.op5,
     "op6_line_dedup": line_dedup.op6,
     "op7_warc": warc.op7,
     "op8_language_id": language_id.op8,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_compression_classifier": compression_classifier.op10,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op7_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE}
