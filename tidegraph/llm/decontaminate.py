@@ -30,6 +30,8 @@ BLOCKS = 16
 SIMILAR = 0.8
 #: Benchmarks of up to this many shingles are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SHINGLES = 200_000
+#: Up to this many ids of documents with a common shingle are broadcast (eight bytes each).
+BROADCAST_KEYS = 1_000_000
 #: Bits of each fingerprint half, and the width of a counter: three counters share a long.
 HALF, LANE = 63, 21
 
@@ -103,15 +105,19 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     starts = F.sequence(F.greatest(F.lit(0), F.col("p") - long + SHINGLE), F.least(F.col("p"), F.col("n_words") - long))
     windows = hits.select("key", "size", long.alias("long"), F.explode(starts).alias("s")).distinct()
 
-    # the shingles of those documents, one text for each id
-    held = texts.join(hits.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    near = common.cut(shingles(held).select("key", "p", "h"))
+    # the shingles of those documents in order, one text for each id
+    keys = hits.select("key").distinct()
+    few = F.broadcast if keys.count() <= BROADCAST_KEYS else (lambda x: x)
+    held = texts.join(few(keys), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("key", words(F.col("text")).alias("w"))
+    each = lambda p: F.xxhash64(*[F.get(F.col("w"), p + i) for i in range(SHINGLE)])
+    near = common.cut(held.where(F.size("w") >= SHINGLE).select("key", F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), each).alias("hs")))
 
     def filled(w: DataFrame, by: list[str]) -> DataFrame:
-        places = w.select(*by, F.explode(F.sequence(F.col("s"), F.col("s") + F.col("long") - SHINGLE)).alias("p"))
-        return places.join(near, ["key", "p"])
+        """A row for each shingle of each window; a document's windows meet its shingles in one row, so the rest needs no shuffle."""
+        listed = w.groupBy("key").agg(F.collect_set(F.struct(*by)).alias("x")).join(near, "key").select("key", "hs", F.explode("x").alias("x"))
+        return listed.select("key", "x.*", F.explode(F.slice("hs", F.col("x.s") + 1, F.col("x.long") - (SHINGLE - 1))).alias("h"))
 
-    marked = simhash(filled(windows, ["key", "size", "long", "s"]), ["key", "size", "long", "s"])
+    marked = simhash(filled(windows, ["size", "long", "s"]), ["key", "size", "long", "s"])
     targets = simhash(bench, ["item", "size"])
     targets = targets.select("item", "size", F.col("lo").alias("item_lo"), F.col("hi").alias("item_hi"), F.explode(blocks(near=True)).alias("x"))
     targets = targets.select("item", "size", "item_lo", "item_hi", "x.*")
@@ -120,7 +126,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     found = probes.join(hint(targets), ["size", "b", "v"]).where(apart <= RADIUS).select("key", "long", "s", "item").distinct()
 
     # exact weighted Jaccard of what was found
-    ours = filled(found, ["key", "long", "s", "item"]).groupBy("key", "long", "s", "item", "h").agg(F.count("*").alias("n"))
+    ours = filled(found, ["long", "s", "item"]).groupBy("key", "long", "s", "item", "h").agg(F.count("*").alias("n"))
     theirs = bench.groupBy("item", "h").agg(F.count("*").alias("m"))
     sizes = bench.groupBy("item").agg(F.count("*").alias("item_total"))
     both = ours.join(hint(theirs), ["item", "h"], "left").groupBy("key", "long", "s", "item")
