@@ -73,10 +73,10 @@ def split_disconnected(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return connected_components(inside, partition.select("id")).select("id", F.col("component").alias("community"))
 
 
-def flow_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, seed: int = 1) -> DataFrame:
+def flow_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, seed: int = 1, flow: DataFrame | None = None) -> DataFrame:
     """(id, community) by moves that lower the codelength of a random walk on the directed graph."""
     plogp = metrics.plogp
-    flow = cut(metrics.page_rank(edges, nodes))
+    flow = metrics.page_rank(edges, nodes) if flow is None else flow
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     link = cut(edges.where("src <> dst").join(out, "src").join(flow.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("flow") * F.col("weight") / F.col("out")).alias("f")))
     total = link.groupBy(F.col("src").alias("id")).agg(F.sum("f").alias("out_f"))
@@ -90,6 +90,7 @@ def flow_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, seed:
         placed = cut(link.join(src, "src").join(dst, "dst"))
         exits = placed.where("cs <> cd").groupBy(F.col("cs").alias("community")).agg(F.sum("f").alias("q"))
         module = at.join(flow, "id").groupBy("community").agg(F.sum("flow").alias("p")).join(exits, "community", "left").select("community", "p", F.coalesce("q", F.lit(0.0)).alias("q"))
+        module = cut(module)
         q_all = module.agg(F.sum("q").alias("q_all"))
         sent = placed.groupBy(F.col("src").alias("id"), F.col("cd").alias("community")).agg(F.sum("f").alias("to"))
         got = placed.groupBy(F.col("dst").alias("id"), F.col("cs").alias("community")).agg(F.sum("f").alias("from"))
