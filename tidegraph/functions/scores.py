@@ -22,12 +22,12 @@ def ai_percentage(score: Column, threshold: float = 0.9, steepness: float = 25.0
 
 def quartile(p: Column) -> Column:
     """The quarter of a probability."""
-    return F.element_at(F.array(*map(F.lit, QUARTILES)), F.least(F.floor(p * 4), F.lit(3)).cast("int") + 1)
+    return F.element_at(F.array(*map(F.lit, QUARTILES)), bin_of(p, 4) + 1)
 
 
 def bin_of(p: Column, bins: int) -> Column:
     """The bin of a probability; 1 belongs to the last."""
-    return F.least(F.floor(p * bins), F.lit(bins - 1)).cast("int")
+    return F.when(p.isNotNull(), F.least(F.floor(p * bins), F.lit(bins - 1))).cast("int")  # least() skips nulls
 
 
 def to_unit(v: Column) -> Column:

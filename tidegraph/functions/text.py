@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Spellings of verdicts and the veracity of each verdict.
 TRUE_FORMS = ("vero", "vera", "veri", "vere")
@@ -16,7 +17,7 @@ NO_DATE = "data sconosciuta"
 NO_SOURCE = "(nessuna fonte trovata)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decoded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else " ".join(html.unescape(t).split()))
 
@@ -76,7 +77,7 @@ def date_or_default(created_at: Column) -> Column:
 
 def evidence_urls(joined: Column) -> Column:
     """The addresses of a ';'-joined list."""
-    return F.filter(F.transform(F.split(joined, ";"), F.trim), lambda u: u.startswith("http"))
+    return F.filter(F.transform(F.split(joined, ";"), lambda u: F.trim(u)), lambda u: u.startswith("http"))
 
 
 def json_count(raw: Column, field: str) -> Column:
