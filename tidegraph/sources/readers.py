@@ -66,7 +66,7 @@ def topics(lines: DataFrame) -> DataFrame:
     line = F.trim(F.regexp_replace("value", "^﻿", ""))
     rows = lines.select("line_no", line.alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
     parts = F.split("line", ":", 2)
-    listed = F.filter(F.transform(F.split(parts[1], ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(parts[1], ","), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.select("line_no", F.trim(parts[0]).alias("name"), F.when(F.size(parts) > 1, listed).alias("listed"))
     rows = rows.withColumn("queries", F.when(F.size("listed") > 0, F.col("listed")).otherwise(F.array("name"))).where("name <> ''")
     return first_of_key(rows, ["name"], [F.col("line_no")]).select("name", "queries")
