@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     Self loops, repeated edges and edges with a null end are allowed; the latter are ignored.
     """
     known = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    ids = known.select(F.explode(F.array("u", "v")).alias("id"))
+    ids = known.select(F.col("u").alias("id")).unionByName(known.select(F.col("v").alias("id")))
     if nodes is not None:
         ids = ids.unionByName(nodes.select("id"))
     links = cut(known.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         # large star: a node's larger neighbours link to the smallest of it and its neighbours
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours link to the smallest of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
