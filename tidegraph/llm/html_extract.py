@@ -53,11 +53,11 @@ NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def named_never(attributes: str) -> bool:
-    """Whether the names that an element carries say that it isn't part of the article."""
+def named_never(attributes: str, inside: bool = False) -> bool:
+    """Whether the names that an element carries say that it isn't part of the article (``inside`` it, a header is its own)."""
     for m in NAMES.finditer(attributes):
         parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower())
-        if any(p in _NEVER_NAMED for p in parts):
+        if any(p in _NEVER_NAMED and not (inside and p == "header") for p in parts):
             return True
     return False
 
@@ -77,8 +77,8 @@ class Token:
     held: bool  # inside article or main
 
 
-def tokens(page: str | None) -> Iterator[Token]:
-    """Tags and texts in page order, one linear pass."""
+def tokens(page: str | None, by_name: bool = True) -> Iterator[Token]:
+    """Tags and texts in page order, one linear pass; ``by_name``: class and id names tell what is never content."""
     if not page:
         return
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is never content
@@ -136,7 +136,7 @@ def tokens(page: str | None) -> Iterator[Token]:
                     close(len(stack) - 1)
             if name == "a" and links and stack and stack[-1][0] == "a":
                 close(len(stack) - 1)
-            bad = name in _NEVER or name == "header" and not containers or bool(attributes) and name not in ("html", "body", *CONTAINERS) and (named_never(attributes) or bool(HIDDEN.search(attributes)))
+            bad = name in _NEVER or name == "header" and not containers or bool(attributes) and name not in ("html", "body", *CONTAINERS) and (by_name and named_never(attributes, containers > 0) or bool(HIDDEN.search(attributes)))
             stack.append((name, bad))
             never += bad
             links += name == "a"
@@ -169,8 +169,12 @@ class Weights:
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """The text of the best region of one page."""
-    seen = list(tokens(page))
+    """The text of the best region of one page; where names rule out everything, they are not heeded."""
+    return best_region(list(tokens(page)), weights) or best_region(list(tokens(page, by_name=False)), weights)
+
+
+def best_region(seen: list[Token], weights: Weights) -> str:
+    """The blocks of the contiguous region with the highest total score."""
     held = any(t.held and t.text is not None and t.text.strip() for t in seen)
     best, start, at, total = (0.0, 0, 0), 0, 0, 0.0
     scores = []
