@@ -151,6 +151,16 @@ def test_classes_by_brute_force(spark):
     assert minhash.near_classes(docs.limit(0)).count() == 0
 
 
+def test_hot_bucket_is_complete_whatever_the_candidates(spark, monkeypatch):
+    # one bucket that all texts share, in an order that says nothing of likeness
+    monkeypatch.setattr(minhash, "band_keys", lambda winners: np.zeros(1, np.int64))
+    monkeypatch.setattr(minhash, "sort_keys", lambda winners: np.array([hash(winners.tobytes()) >> 8], np.int64))
+    texts = sample(60, 60, 10)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more words here") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+
+
 def test_blocks_find_links_of_components():
     a = np.arange(200, dtype=np.uint64)
     assert minhash.similarity(a, a) == 1.0 and minhash.similarity(a[:100], a[100:]) == 0.0

@@ -13,9 +13,10 @@ least 0.8, computed exactly) and joined to components.  Candidates that agree at
 ``LIKE`` registers link nodes to groups of like texts; groups that then still hold several
 components are worked off in blocks: the nodes outside the group's largest component,
 about ``LEADERS`` at a time, are compared exactly with chunks of the group's nodes through an index
-of the leaders' shingles, and only the links found are emitted.  So every pair of a group is
-compared or already in one class, without rows for all pairs of a large group of copies
-ever being made.
+of the leaders' shingles, and only the links found are emitted.  Buckets with nodes of several
+groups are then worked off in the same way, whatever their candidates were.  So every pair of a
+bucket is compared or already in one class, without rows for all pairs of a large group of
+copies ever being made.
 
 Defined cases: null texts and texts without words have equal (no) words and are copies of
 each other; texts of one to four words are copies of equal ones only; repeated rows are
@@ -234,19 +235,41 @@ def near_classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     classed = ends.join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("c")).join(groups, "c")
     parts = classed.groupBy("g", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("g").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("x")).where("parts > 1")
-    blocks = F.ceil((F.col("size") - F.col("x.n")) / LEADERS).cast("int")
-    rows = common.cut(classed.join(mixed.select("g", "size", F.col("x.c").alias("main"), blocks.alias("blocks")), "g"))
-    leaders = rows.where("c <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    more = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    for k in range(rows.agg(F.max("blocks")).collect()[0][0] or 0):
-        led = leaders.where(F.col("block") == k)
-        more = more.unionByName(common.cut(block_links(rows.where(F.col("blocks") > k), led, bag, similar)))
+    rows = common.cut(classed.join(mixed.select("g", "size", F.col("x.c").alias("main"), block_count().alias("blocks")), "g"))
+    more = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(worked_off(rows, rows.where("c <> main"), bag, similar))
+
+    # buckets with nodes of several groups, where not every pair was a candidate; of buckets with the same nodes one is enough
+    open_spots = inside.where(F.col("n") > NEIGHBOURS + 1).where("n > 2").select("bucket", "node")
+    labels = open_spots.select("node").distinct().join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    labels = common.cut(labels.join(groups, "c", "left").select("node", "c", F.coalesce("g", "c").alias("own")))
+    spots = open_spots.join(labels, "node")
+    parts = spots.groupBy("bucket", "own").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.sum("print").cast("decimal(38,0)").alias("print"), F.max(F.struct("n", "own")).alias("x")).where("parts > 1")
+    once = mixed.groupBy("size", "print", "x").agg(F.min("bucket").alias("bucket"))
+    rows = common.cut(spots.join(once.select("bucket", "size", F.col("x.own").alias("main"), block_count().alias("blocks")), "bucket").withColumnRenamed("bucket", "g"))
+    bag = common.cut(bags(docs, rows.select(F.col("node").alias("doc_id")).distinct()).dropDuplicates(["doc_id"]))
+    more = more.unionByName(worked_off(rows, rows.where("own <> main"), bag, similar))
     found = connected_components(more, src="a", dst="b")
     named = copies.join(found.withColumnRenamed("id", "node"), "node", "left")
     named = named.select("key", F.coalesce("component", "node").alias("class_id"))
     return seen.select("doc_id", "key").join(named, "key").select("doc_id", "class_id")
 
 
+def block_count() -> Column:
+    """Blocks of about ``LEADERS`` of the nodes of a group outside its largest part ``x``."""
+    return F.ceil((F.col("size") - F.col("x.n")) / LEADERS).cast("int")
+
+
+def worked_off(rows: DataFrame, leaders: DataFrame, bag: DataFrame, similar: float) -> DataFrame:
+    """The links (a, b) of all leaders of groups ``g`` with the groups' nodes, a block of leaders at a time."""
+    leaders = leaders.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    out = rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for k in range(rows.agg(F.max("blocks")).collect()[0][0] or 0):
+        led = leaders.where(F.col("block") == k)
+        out = out.unionByName(common.cut(block_links(rows.where(F.col("blocks") > k), led, bag, similar)))
+    return out
+
+
 def block_links(live: DataFrame, led: DataFrame, bag: DataFrame, similar: float) -> DataFrame:
     """(a, b) for nodes of ``live`` and leaders of their group, of other components, with at least the similarity.
 
@@ -255,7 +278,7 @@ def block_links(live: DataFrame, led: DataFrame, bag: DataFrame, similar: float)
     """
     spread = max(8, live.count() // CHUNK)
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    at = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks)).otherwise(F.lit(0))
+    at = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks)).otherwise(F.lit(0)).cast("int")  # as the leaders' chunks, or the hash differs
     part = F.pmod(F.xxhash64("g", F.when(chunks > 1, F.col("chunk") + 1).otherwise(F.lit(0))), F.lit(spread))
     bags_of = bag.withColumnRenamed("doc_id", "node")
     members = live.withColumn("chunk", at).withColumn("part", part).select("part", "g", "chunk", "node", "c").join(bags_of, "node")
@@ -284,7 +307,7 @@ def block_links(live: DataFrame, led: DataFrame, bag: DataFrame, similar: float)
                     out.append((min(node, node_h[i]), max(node, node_h[i])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    found = members.groupBy("part").cogroup(heads.toDF("head_part", "g", "chunk", "node", "c", "bag").groupBy("head_part")).applyInPandas(compare, "a long, b long")
+    found = members.groupBy("part").cogroup(heads.select("part", "g", "chunk", "node", "c", "bag").toDF("head_part", "g", "chunk", "node", "c", "bag").groupBy("head_part")).applyInPandas(compare, "a long, b long")
     return found.distinct()
 
 
