@@ -3,22 +3,33 @@
 A page is a sequence of tags and words.  Words score positive and tags negative, with
 weights learned from labelled pages: pages that mark their article with an ``article`` or
 ``main`` element serve as labels, and a weight is the log odds of the token's class inside
-against outside that element.  One linear scan finds the contiguous region of the highest
-total; its blocks, without the parts that are never content, are the text.
+against outside that element, drawn towards a default where there are few.  One linear scan
+finds the contiguous region of the highest total; its blocks are the text.  Where a page marks
+its article, words inside weigh positive and tags nothing, so the region spans all of it.
+
+Parts that are no text of the article by their element (menus, headers of the page, footers,
+sidebars, forms), and elements that names (class, id, role) set apart, weigh nothing and are left
+out.  Names are features: each part of a name weighs by how often it was seen in and outside
+marked articles, with a prior for the listed ones, and an element goes only if the weights of its
+names say so and enough of the page's text is left without it.
 
 Defined cases: null, empty and tag-only html gives an empty text; unclosed, stray and cut
-tags are read as a browser would (a tag cut off at the end of the page is dropped); of
-regions with equal scores the first is taken; repeated rows give equal texts; without
-labelled pages the default weights hold.
+tags are read much as a browser would, in one linear pass (a tag cut off at the end of the page
+is dropped, a menu or sidebar that is never closed is not heeded); where everything would go,
+names are not heeded, then elements neither; of regions with equal scores the first is taken;
+repeated rows give equal texts; pages with a null id count as one in the fitting sample; a very
+long page is read whole; an empty table gives no rows; without labelled pages the default
+weights hold.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,78 +39,171 @@ from pyspark.sql import functions as F
 from . import common
 
 #: HTML element classes.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "math")
-VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "select", "desc", "metadata", "annotation", "annotation-xml")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 BLOCKS = (
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul"
+    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul"
 ).split()
 CELLS = ("br", "td", "th")
 NEVER = ("head", "nav", "menu", "footer", "aside", "form", "button", "dialog", "fieldset", "datalist", "label", "audio", "video", "canvas")
 CONTAINERS = ("article", "main")
-#: Words of class, id, role and aria-label values that name what is not the article.
+#: An end tag doesn't reach beyond these, and a start tag of the first ends an open one of the others up to its walls.
+SCOPES = ("table", "td", "th", "caption")
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead")}
+PASSED = frozenset(("li", "div", "p", "address", "dd", "dt", "option", "td", "th", "tr", "tbody", "thead", "tfoot"))
+#: Parts of class, id, role and aria-label values that name what is not the article, what is, and what only describes a layout.
 NEVER_NAMED = (
     "ad ads adbox adsense advert advertisement advertising advertorial banner sponsor sponsored promo promotion promotional "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar topbar masthead sidebar aside rail widget complementary contentinfo "
     "footer header cookie cookies consent gdpr notice alert modal popup overlay disclaimer newsletter subscribe subscription signup login search form "
     "comment comments disqus respond reply replies discussion reactions share sharing social related recommended recommendations teaser teasers outbrain taboola skip"
 ).split()
+CONTENT_NAMED = "article content main post entry story body text page prose wrapper container layout".split()
+LAYOUT_NAMED = "with without has no long short free two left right column col cols".split()
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)",
+    r"<!--(?:.*?-->|.*\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)",
     re.S,
 )
 NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
+_NEVER, _BLOCKS, _RAW, _VOID, _LAYOUT, _SCOPES = map(frozenset, (NEVER, BLOCKS, RAW, VOID, LAYOUT_NAMED, SCOPES))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Prior weights of names, and the weight from which an element is set apart.
+PRIOR = {**dict.fromkeys(NEVER_NAMED, -2.0), **dict.fromkeys(CONTENT_NAMED, 2.0)}
+APART = -1.0
+
 
-def named_never(attributes: str, inside: bool = False) -> bool:
-    """Whether the names that an element carries say that it isn't part of the article (``inside`` it, a header is its own)."""
+def name_tokens(attributes: str) -> list[list[str]]:
+    """The names of an element, each in its parts."""
+    out = []
     for m in NAMES.finditer(attributes):
-        parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower())
-        if any(p in _NEVER_NAMED and not (inside and p == "header") for p in parts):
-            return True
-    return False
+        split = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower()
+        out += [parts for x in split.split() if (parts := [p for p in re.split(r"[^a-z]+", x) if p])]
+    return out
 
 
-_NEVER_NAMED, _NEVER, _BLOCKS, _RAW, _VOID = map(frozenset, (NEVER_NAMED, NEVER, BLOCKS, RAW, VOID))
+def names_weight(attributes: str, weights: dict[str, float], inside: bool) -> float:
+    """What the names of an element say: the worst part of each name counts, names that describe a layout don't (``inside`` an article, a header is its own)."""
+    total = 0.0
+    for parts in name_tokens(attributes):
+        if len(parts) > 1 and not _LAYOUT.isdisjoint(parts[:-1]):
+            continue
+        at = [weights.get(p, PRIOR.get(p, 0.0)) for p in parts if not (inside and p == "header")]
+        total += min(at, default=0.0) if min(at, default=0.0) < 0 else max(at, default=0.0)
+    return total
 
 
-@dataclass
-class Token:
+class Token(NamedTuple):
     """A tag (``text`` is None) or a run of text, with where it stands."""
 
     name: str
     text: str | None
     block: str
     link: bool
-    never: bool
-    held: bool  # inside article or main
-
-
-def tokens(page: str | None, by_name: bool = True) -> Iterator[Token]:
-    """Tags and texts in page order, one linear pass; ``by_name``: class and id names tell what is never content."""
+    never: bool  # in a part that its element rules out
+    named: int  # number of the outermost element that names set apart, 0 outside of such
+    held: bool  # inside the marked article
+
+
+class Stack:
+    """Open elements, with the places of each name, of blocks and of walls, so that no tag has to look through them."""
+
+    def __init__(self):
+        self.open: list[tuple[str, bool, int]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.walls: list[int] = []
+        self.scopes: list[int] = []
+        self.never, self.named = 0, []
+
+    def push(self, name: str, never: bool, named: int) -> None:
+        i = len(self.open)
+        self.open.append((name, never, named))
+        self.at[name].append(i)
+        self.never += never
+        if named:
+            self.named.append(named)
+        if name in _BLOCKS:
+            self.blocks.append(i)
+            if name not in PASSED:
+                self.walls.append(i)
+        if name in _SCOPES:
+            self.scopes.append(i)
+
+    def _leave(self, i: int) -> None:
+        name, never, named = self.open[i]
+        if name:
+            self.at[name].pop()
+            self.never -= never
+            if named:
+                self.named.remove(named) if self.named[-1] != named else self.named.pop()
+
+    def close(self, to: int) -> None:
+        """Close all elements from place ``to`` on."""
+        while len(self.open) > to:
+            self._leave(len(self.open) - 1)
+            self.open.pop()
+        for places in (self.blocks, self.walls, self.scopes):
+            while places and places[-1] >= to:
+                places.pop()
+
+    def last(self, *names: str) -> int:
+        return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the last open element of the name; an inline one leaves blocks inside it open."""
+        i = self.last(name)
+        if i < 0 or name not in _SCOPES and self.scopes and self.scopes[-1] > i and name not in ("tr", "tbody", "thead", "tfoot"):
+            return
+        if name not in _BLOCKS and self.blocks and self.blocks[-1] > i:
+            self._leave(i)
+            self.open[i] = ("", False, 0)
+        else:
+            self.close(i)
+
+    def start(self, name: str) -> None:
+        """What a start tag ends by itself: paragraphs, list items, cells and their like, headings, links."""
+        if self.at["head"]:
+            self.close(self.last("head"))
+        if name in _BLOCKS:
+            p = self.last("p")
+            if p >= 0 and self.blocks[-1] == p:
+                self.close(p)
+            if name in ENDS:
+                i = self.last(*ENDS[name])
+                if i >= 0 and (not self.walls or self.walls[-1] < i):
+                    self.close(i)
+            elif name in _HEADINGS and self.blocks and self.open[self.blocks[-1]][0] in _HEADINGS:
+                self.close(self.blocks[-1])
+        elif name == "a":
+            self.end("a")
+
+    def block(self) -> str:
+        return self.open[self.blocks[-1]][0] if self.blocks else ""
+
+
+def container_of(low: str) -> str:
+    """Which element marks the article of a page (in lower case), '' where none does."""
+    return next((c for c in CONTAINERS if re.search(rf"<{c}[\s>/]", low)), "")
+
+
+def tokens(page: str | None, names: dict[str, float] | None = None, elements: bool = True) -> Iterator[Token]:
+    """Tags and texts in page order, one linear pass; ``names`` are the weights of names (None: not heeded)."""
     if not page:
         return
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is never content
-    never, links, containers, at, n = 0, 0, 0, 0, len(page)
-
-    def close(to: int) -> None:
-        nonlocal never, links, containers
-        while len(stack) > to:
-            name, bad = stack.pop()
-            never -= bad
-            links -= name == "a"
-            containers -= name in CONTAINERS
-
-    def block() -> str:
-        return next((x for x, _ in reversed(stack) if x in _BLOCKS), "")
-
+    low = page.lower()
+    container = container_of(low)
+    closes: dict[str, int] = {}
+    stack, at, n, apart = Stack(), 0, len(page), 0
+    held = lambda: bool(container) and bool(stack.at[container])
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
-            yield Token("", page[at:end], block(), links > 0, never > 0, containers > 0)
+            yield Token("", page[at:end], stack.block(), bool(stack.at["a"]), stack.never > 0, stack.named[0] if stack.named else 0, held())
         if not m:
             return
         at = m.end()
@@ -115,85 +219,91 @@ def tokens(page: str | None, by_name: bool = True) -> Iterator[Token]:
                 at = over.end() if over else n
             continue
         if closing:
-            opened = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 256), -1) if stack[i][0] == name), None)
-            if opened is not None:
-                close(opened)
-        elif name in _VOID:
-            pass
-        else:
-            if name in CONTAINERS and never:
-                # an unclosed menu or header doesn't swallow the article
-                first = next(i for i, x in enumerate(stack) if x[1])
-                if stack[first][0] in ("nav", "header", "head", "ul", "div", "aside", "menu") and not any(x in ("section", "ol") for x, _ in stack[first:]):
-                    close(first)
-            if name in _BLOCKS:
-                # blocks end an open paragraph and its inline elements; list items and cells end their like
-                if name != "p" or any(x == "p" for x, _ in stack[-16:]):
-                    p = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 16), -1) if stack[i][0] == "p"), None)
-                    if p is not None and not any(x in _BLOCKS and x != "p" for x, _ in stack[p + 1 :]):
-                        close(p)
-                if name == "li" and stack and stack[-1][0] == "li":
-                    close(len(stack) - 1)
-            if name == "a" and links and stack and stack[-1][0] == "a":
-                close(len(stack) - 1)
-            bad = name in _NEVER or name == "header" and not containers or bool(attributes) and name not in ("html", "body", *CONTAINERS) and (by_name and named_never(attributes, containers > 0) or bool(HIDDEN.search(attributes)))
-            stack.append((name, bad))
-            never += bad
-            links += name == "a"
-            containers += name in CONTAINERS
-        yield Token(f"/{name}" if closing else name, None, "", False, never > 0, containers > 0)
+            stack.end(name)
+        elif name not in _VOID:
+            stack.start(name)
+            inside = held()
+            never = elements and (name in _NEVER or name == "header" and not inside)
+            if never and name != "head":
+                if name not in closes:
+                    closes[name] = low.rfind(f"</{name}")
+                never = closes[name] >= at  # one that is never closed can't tell where it ends
+            never = never or bool(attributes) and bool(HIDDEN.search(attributes)) and elements
+            named = 0
+            if names is not None and attributes and not stack.named and name not in ("html", "body", *CONTAINERS[:1]) and names_weight(attributes, names, inside) <= APART:
+                apart += 1
+                named = apart
+            stack.push(name, never, named)
+        yield Token(f"/{name}" if closing else name, None, "", False, stack.never > 0, stack.named[0] if stack.named else 0, held())
 
 
 def kind(t: Token) -> str:
     """The class of a token that carries its weight."""
     if t.text is None:
         return f"<{t.name}>"
-    return "never" if t.never else "link" if t.link else f"word:{t.block if t.block in _WORD_BLOCKS else 'other'}"
+    return "link" if t.link else f"word:{t.block if t.block in _WORD_BLOCKS else 'other'}"
 
 
-_WORD_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre div article section dd dt tr figcaption".split())
+_WORD_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre div article section dd dt tr td figcaption".split())
 
 
 @dataclass
 class Weights:
-    """A positive score for each class of words and a negative one for each tag."""
+    """A positive score for each class of words and a negative one for each tag; weights of names."""
 
     by: dict[str, float] = field(default_factory=dict)
-    word: float = 1.0
-    tag: float = -0.5
+    names: dict[str, float] = field(default_factory=dict)
 
     def of(self, name: str) -> float:
-        if name == "never":
-            return -0.2
-        return self.by.get(name, self.tag if name[0] == "<" else 0.1 if name == "link" else self.word)
+        return self.by.get(name, default_weight(name))
+
+
+def default_weight(name: str) -> float:
+    return -0.5 if name[0] == "<" else 0.1 if name == "link" else 1.0
 
 
 def extract(page: str | None, weights: Weights) -> str:
-    """The text of the best region of one page; where names rule out everything, they are not heeded."""
-    return best_region(list(tokens(page)), weights) or best_region(list(tokens(page, by_name=False)), weights)
-
-
-def best_region(seen: list[Token], weights: Weights) -> str:
-    """The blocks of the contiguous region with the highest total score."""
-    held = any(t.held and t.text is not None and t.text.strip() for t in seen)
-    best, start, at, total = (0.0, 0, 0), 0, 0, 0.0
-    scores = []
-    for t in seen:
-        name = kind(t)
-        w = weights.of(name)
+    """The text of the best region of one page; where that is empty, names are not heeded, then elements neither."""
+    for names, elements in ((weights.names, True), (None, True), (None, False)):
+        if text := text_of(best_region(list(tokens(page, names, elements)), weights)):
+            return text
+    return ""
+
+
+def left_out(seen: list[Token]) -> set[int]:
+    """Numbers of the elements that names set apart and that are left out: enough other text must remain."""
+    words: Counter = Counter()
+    text = [t for t in seen if t.text is not None and not t.never and not t.link and not t.text.isspace()]
+    marked = any(t.held and not t.named for t in text)
+    for t in text:
+        if t.held or not marked:
+            words[t.named] += len(t.text.split())
+    return {k for k in {t.named for t in seen} - {0} if words[0] >= max(1, min(50, 0.2 * words[k]))}
+
+
+def best_region(seen: list[Token], weights: Weights) -> list[Token]:
+    """The tokens of the contiguous region with the highest total score, without the parts left out."""
+    out = left_out(seen)
+    held = any(t.held and t.text is not None and not t.never and t.named not in out and not t.text.isspace() for t in seen)
+    best, start, total = (0.0, 0, 0), 0, 0.0
+    for at, t in enumerate(seen):
+        if t.never or t.named in out:
+            continue  # no text of the page, and nothing that parts it
+        w = weights.of(kind(t))
         if t.text is not None:
             w *= len(t.text.split())
-        if held and not t.held:
-            w = min(w, 0.0) - 1e-3 - (abs(w) if t.text is not None else 0.0)  # the page says where its article is
-        elif held and t.held and t.text is None:
-            w = max(w, -0.05)
-        scores.append(w)
-    for at, w in enumerate(scores):
+        if held:
+            w = (max(w, 0.0) if t.text is not None else 0.0) if t.held else -abs(w)  # the page says where its article is
         total += w
         if total <= 0:
             total, start = 0.0, at + 1
         elif total > best[0]:
             best = (total, start, at + 1)
+    return [t for t in seen[best[1] : best[2]] if not t.never and t.named not in out and (t.held or not held)]
+
+
+def text_of(region: list[Token]) -> str:
+    """The blocks of a region: references decoded, white space collapsed, one line each."""
     out, block = [], []
 
     def flush() -> None:
@@ -202,50 +312,90 @@ def best_region(seen: list[Token], weights: Weights) -> str:
             out.append(text)
         block.clear()
 
-    for t in seen[best[1] : best[2]]:
-        if t.text is None:
-            name = t.name.lstrip("/")
-            if name in _BLOCKS:
-                flush()
-            elif name in CELLS:
-                block.append(" ")
-        elif not t.never:
+    for t in region:
+        if t.text is not None:
             block.append(t.text)
+        elif (name := t.name.lstrip("/")) in CELLS:
+            block.append(" ")
+        elif name in _BLOCKS:
+            flush()
     flush()
     return "\n".join(out)
 
 
+def named_words(page: str | None) -> Iterator[tuple[str, bool, int]]:
+    """(part of a name, inside the marked article, words) of the innermost and the outermost named element of each text of a page."""
+    container = container_of((page or "").lower())
+    stack, names, at = Stack(), {}, 0
+    for m in TOKEN.finditer(page or ""):
+        words, at = len(page[at : m.start()].split()), m.end()
+        inside = bool(container) and bool(stack.at[container])
+        for part in {p for k in stack.named[:1] + stack.named[-1:] for p in names[k]}:
+            if words:
+                yield part, inside, words
+        name, attributes = (m[2] or m[6] or "").lower(), m[3] or m[7] or ""
+        if not name or name in _VOID:
+            continue
+        if m[1] or m[5]:
+            stack.end(name)
+            continue
+        stack.start(name)
+        parts = {p for x in name_tokens(attributes) for p in x} if name not in ("html", "body", *CONTAINERS) else set()
+        number = len(names) + 1 if parts else 0
+        if parts:
+            names[number] = parts
+        stack.push(name, False, number)
+
+
 def fit(pages: DataFrame, sample: int = 2000) -> Weights:
-    """Weights from at most ``sample`` pages (in md5 order of the id) that mark their article."""
+    """Weights from at most ``sample`` pages (in md5 order of the id; of an id's rows the first by html) that mark their article."""
     marked = pages.select("page_id", "html").where(F.col("html").rlike("(?i)<(article|main)[ >]"))
-    ids = marked.select("page_id").dropDuplicates().orderBy(common.stable_order("page_id"), "page_id").limit(sample)
+    ids = marked.select("page_id").distinct().orderBy(common.stable_order("page_id"), "page_id").limit(sample)
+    some = marked.join(F.broadcast(ids), marked["page_id"].eqNullSafe(ids["page_id"]), "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            both: tuple[Counter, Counter] = (Counter(), Counter())
             for page in batch["html"]:
-                inside, outside = Counter(), Counter()
-                for t in tokens(page):
-                    n = 1 if t.text is None else len(t.text.split())
-                    (inside if t.held and not t.never else outside)[kind(t)] += n
-                if inside:
-                    rows += [(k, inside[k], outside[k]) for k in {*inside, *outside}]
+                for t in tokens(page, {}):
+                    if not t.never and not t.named:
+                        both[not t.held][kind(t)] += 1 if t.text is None else len(t.text.split())
+                for part, inside, words in named_words(page):
+                    both[not inside][f"name:{part}"] += words
+            rows = [(k, both[0][k], both[1][k]) for k in {*both[0], *both[1]}]
             yield pd.DataFrame(rows, columns=["kind", "inside", "outside"])
 
-    counts = marked.join(F.broadcast(ids), "page_id", "left_semi").select("html").mapInPandas(count, "kind string, inside long, outside long")
-    got = counts.groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc("inside"), "kind").limit(2000).collect()
+    counts = some.select("html").mapInPandas(count, "kind string, inside long, outside long")
+    got = counts.groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(2000).collect()
     return weigh({r["kind"]: r["inside"] for r in got}, {r["kind"]: r["outside"] for r in got})
 
 
+#: Words or tags that must have been seen before counts outweigh a default.
+PSEUDO = 200
+
+
 def weigh(inside: dict[str, int], outside: dict[str, int]) -> Weights:
-    """Log odds of each class inside the marked article, words kept positive and tags negative."""
-    a, b, by = sum(inside.values()), sum(outside.values()), {}
-    if not a:
-        return Weights()
-    for k in {*inside, *outside} - {"never"}:
-        odds = float(np.log((inside.get(k, 0) + 0.5) / (a + 1) * (b + 1) / (outside.get(k, 0) + 0.5)))
-        by[k] = min(-0.05, max(odds - 1, -6.0)) if k[0] == "<" else min(max(odds, 0.05), 3.0)
-    return Weights(by)
+    """Log odds of each class inside the marked article against outside, drawn to its default by pseudo-counts; words stay positive and tags negative."""
+    every = {*inside, *outside}
+    sums = lambda x, name: sum(v for k, v in x.items() if k.startswith("name:") == name)
+    out = Weights()
+    for name in (False, True):
+        a, b = sums(inside, name), sums(outside, name)
+        if not a or not b:
+            continue
+        for k in every:
+            if k.startswith("name:") != name:
+                continue
+            i, o = inside.get(k, 0), outside.get(k, 0)
+            odds = float(np.log((i + 0.5) / (a + 1) * (b + 1) / (o + 0.5)))
+            sure = (i + o) / (i + o + PSEUDO)
+            if name:
+                out.names[k[5:]] = PRIOR.get(k[5:], 0.0) * (1 - sure) + min(max(odds, -4.0), 4.0) * sure
+            elif k[0] == "<":
+                out.by[k] = min(-0.05, max(default_weight(k) * (1 - sure) + (odds - 1) * sure, -2.0))
+            else:
+                out.by[k] = min(max(default_weight(k) * (1 - sure) + odds * sure, 0.05), 3.0)
+    return out
 
 
 def with_text(pages: DataFrame, weights: Weights, html_col: str = "html"):
