@@ -8,7 +8,11 @@ per byte, without which the difference means little for highly repetitive texts.
 
 Defined cases: null and empty texts have difference 0 and size 1 and get the score that
 the calibration gives there; without labels of both classes every score is the share of
-good labels (0.5 if there are none); repeated rows get equal scores.
+good labels (0.5 if there are none); repeated rows get equal scores, rows with a null id are
+scored like others; labels without an id teach nothing, of contradicting labels of one id the
+smallest counts, and of an id's rows the first by text; equal sizes are no tie to break; very long
+texts are compressed whole (those that exceed the sample's size are passed over in fitting only);
+an empty table gives no rows; only the text column is read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -88,21 +92,21 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.1, ro
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, dict_bytes: int = 112_640, level: int = 3) -> Model | float:
-    """Fit on at most ``per_class`` labelled documents of each class (in md5 order of the id).
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, chars: int = 20_000_000, dict_bytes: int = 112_640, level: int = 3) -> Model | float:
+    """Fit on at most ``per_class`` labelled documents of each class (in md5 order of the id) with at most ``chars`` characters a class.
 
     Half of each class trains its dictionary, the other half the calibration, whose rows are
     weighted back to the shares of the classes among all labels.  Returns the share of good
     labels where there is only one class.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
+    known = common.one_label(labels)
     count = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect() if r["quality"] in (0, 1)}
     total = sum(count.values())
     if len(count) < 2:
         return count.get(1, 0) / total if total else 0.5
     parts = [known.where(F.col("quality") == q).orderBy(common.stable_order("doc_id"), "doc_id").limit(per_class) for q in (0, 1)]
     ids = parts[0].unionByName(parts[1])
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    got = common.bounded_texts(docs, ids, chars, ("quality",)).toPandas().sort_values("doc_id", kind="stable")
     got = got[got["text"].fillna("") != ""]
     texts = {q: [t.encode("utf-8", "surrogatepass") for t in got.loc[got["quality"] == q, "text"]] for q in (0, 1)}
     if min(map(len, texts.values())) < 2:

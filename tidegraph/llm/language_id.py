@@ -7,7 +7,9 @@ most letters is the prediction and its share of the letters the score.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no
 training rows everything is ``und``; a word in a script that no learned language uses is
-open to all languages; ties go to the language that sorts first; repeated rows are labelled alike.
+open to all languages; ties go to the language that sorts first; repeated rows are labelled alike
+(and count each in training), rows with a null id are labelled but not trained on; very long texts
+are labelled whole; an empty table gives no rows; only the text and language columns are read.
 """
 
 from __future__ import annotations

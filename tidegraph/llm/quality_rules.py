@@ -7,12 +7,16 @@ interpretable rules, which is emitted as one Spark ``CASE WHEN`` expression.
 
 Defined cases: a null or blank text has no words (all counts 0) and fails the base
 rule; repeated rows are judged alike; a table without labels, or with labels of one
-class only, gives an empty list, so that only the base rule rejects; further columns
-are passed through, whatever their names.
+class only, gives an empty list, so that only the base rule rejects; rows with a null id are
+judged like others, labels without an id teach nothing, of contradicting labels of one id the
+smallest counts, and of an id's rows the first by text; ties between tests go to the feature that
+is listed first and the smallest threshold; very long texts are read whole; an empty table gives
+no rows; further columns are passed through, one named like ``into`` is replaced.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -235,22 +239,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **how) -> list
     Only statistics of that bounded sample reach the driver.  Documents that the base
     rule rejects, and null labels, teach nothing.
     """
-    known = labels.select("doc_id", "quality").dropna().dropDuplicates(["doc_id"])
-    some = known.orderBy(common.stable_order("doc_id"), "doc_id").limit(sample)
-    seen = with_stats(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
+    some = common.one_label(labels).orderBy(common.stable_order("doc_id"), "doc_id").limit(sample)
+    one = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    seen = with_stats(one)
     got = seen.where(~base_failed("stats")).select("doc_id", "quality", "stats.*").toPandas()
     got = got.sort_values(["doc_id", "n_words"], kind="stable")
     got = got.iloc[np.argsort([hash_order(i) for i in got["doc_id"]], kind="stable")].reset_index(drop=True)
     return learn(got, got["quality"].to_numpy() == 1, **how) if got["quality"].nunique() > 1 else []
 
 
-def hash_order(i: int) -> int:
+def hash_order(i: int | str) -> int:
     """A fixed shuffle of ids for the split into growing and pruning rows."""
-    return (int(i) * 0x9E3779B97F4A7C15 >> 7) & 0xFFFFFFFF
+    return zlib.crc32(i.encode()) if isinstance(i, str) else (int(i) * 0x9E3779B97F4A7C15 >> 7) & 0xFFFFFFFF
 
 
 def apply(docs: DataFrame, rules: list[Rule], into: str = "verdict") -> DataFrame:
-    """``docs`` with a struct ``into``: the statistics, ``base_failed``, ``rule`` and ``kept``."""
+    """``docs`` with a struct ``into`` (in the place of a column of that name): the statistics, ``base_failed``, ``rule`` and ``kept``."""
     seen = with_stats(docs, into)
     fields = [F.col(f"{into}.{x.split()[0]}").alias(x.split()[0]) for x in STATS_SCHEMA.split(", ")]
     failed, rule = base_failed(into), rule_column(rules, into)
