@@ -13,6 +13,9 @@ VIEWS = {
 SELECT n_nationkey AS id, 'nation-' || cast(n_nationkey AS string) || '.example' AS domain,
        cast((n_nationkey * 37) % 500 AS int) AS active_users, n_regionkey AS topic_id
 FROM nation
+""",
+    "v_topics": """
+SELECT r_regionkey AS id, r_name AS name FROM region
 """,
     "v_accounts": """
 SELECT c_custkey AS id, c_nationkey AS instance_id, cast(c_custkey AS string) AS mastodon_id,
@@ -26,7 +29,7 @@ SELECT c_custkey AS id, c_nationkey AS instance_id, cast(c_custkey AS string) AS
 FROM customer
 """,
     "v_statuses": """
-SELECT o_orderkey AS id, cast(o_custkey % 25 AS int) AS instance_id, o_custkey AS account_id,
+SELECT o_orderkey AS id, cast(o_custkey % 25 AS int) AS instance_id, o_custkey AS account_id, cast(o_orderkey AS string) AS mastodon_id,
        CASE o_orderkey % 6 WHEN 0 THEN 'en' WHEN 1 THEN 'en' WHEN 2 THEN 'it'
                            WHEN 3 THEN 'es' WHEN 4 THEN 'fr' ELSE NULL END AS language,
        o_orderdate AS created_at,
@@ -143,10 +146,11 @@ class Tables:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         sql = VIEWS[f"v_{name}"]
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", sql):
-                getattr(self, t).createOrReplaceTempView(t)
-        return self.spark.sql(sql)
+        named = {t: getattr(self, t) for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
+        sql = re.sub(r"[{}]", lambda m: m[0] * 2, sql)
+        for t in named:  # frames go in by name, so no view of the caller's session is replaced
+            sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+        return self.spark.sql(sql, **named)
 
 
 def with_views(sql: str) -> str:

@@ -36,9 +36,17 @@ def to_unit(v: Column) -> Column:
     return present(F.when(v > 1, v / 100.0).otherwise(v))
 
 
-def first_probability(*fields: Column) -> Column:
-    """The first field that is present, as a probability."""
-    return to_unit(F.coalesce(*fields))
+def percent_probability(v: Column) -> Column:
+    """A percentage as a probability, whatever its size."""
+    return present(v.try_cast("double") / 100.0)
+
+
+def first_probability(raw: Column, fields: tuple[str, ...] = ("probability", "ai_probability", "prob", "score", "ai_probability_pct")) -> Column:
+    """The first field that a JSON document has, as a probability (null where that one is null or no number)."""
+    names, out = F.json_object_keys(raw), F.lit(None).cast("double")
+    for f in reversed(fields):
+        out = F.when(F.array_contains(names, f), to_unit(F.get_json_object(raw, f"$.{f}"))).otherwise(out)
+    return out
 
 
 def word_count(text: Column) -> Column:

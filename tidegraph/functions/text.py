@@ -17,14 +17,14 @@ NO_DATE = "data sconosciuta"
 NO_SOURCE = "(nessuna fonte trovata)"
 
 
-@F.pandas_udf(StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else " ".join(html.unescape(t).split()))
-
-
 def clean_html(content: Column) -> Column:
     """Tags to blanks, character references decoded, white space collapsed and trimmed."""
-    return _decoded(F.regexp_replace(content, r"<[^>]+>", " "))
+
+    @F.pandas_udf(StringType())  # made here: a module that holds one can't be shipped once it was used
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else " ".join(html.unescape(t).split()))
+
+    return decoded(F.regexp_replace(content, r"<[^>]+>", " "))
 
 
 def clean_html_basic(content: Column) -> Column:
@@ -42,8 +42,8 @@ def canonical_acct(acct: Column, domain: Column, fold_case: bool = False) -> Col
 
 
 def account_label(acct: Column) -> Column:
-    """T3: '@name'."""
-    return F.concat(F.lit("@"), acct)
+    """T3: '@name', as it is where it has the sign already."""
+    return F.when(acct.startswith("@"), acct).otherwise(F.concat(F.lit("@"), acct))
 
 
 def account_domain(acct: Column) -> Column:

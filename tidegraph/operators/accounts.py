@@ -43,14 +43,24 @@ def search(accounts: DataFrame, term: str, limit: int = 20) -> DataFrame:
     return accounts.where(F.col("acct").ilike(like) | F.col("username").ilike(like)).orderBy(F.desc("bot"), "id").limit(limit)
 
 
-def detail(accounts: DataFrame, follows: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Each account with followers, following and posts: the JSON document's number, else the count of rows."""
+def detail(accounts: DataFrame, follows: DataFrame, statuses: DataFrame, instances: DataFrame) -> DataFrame:
+    """Each account with its server, profile, and followers, following and posts.
+
+    A number in the JSON document goes before the count of rows; empty texts in it count as absent.
+    """
     count = lambda df, c, n: df.groupBy(F.col(c).alias("id")).agg(F.count("*").alias(n))
-    out = accounts.join(count(follows, "followed_account_id", "__in"), "id", "left").join(count(follows, "follower_account_id", "__out"), "id", "left").join(count(statuses, "account_id", "__posts"), "id", "left")
-    stated = F.get_json_object("raw", "$.followers_count").try_cast("bigint")
+    out = accounts.join(instances.select(F.col("id").alias("instance_id"), F.col("domain").alias("__home")), "instance_id")
+    out = out.join(count(follows, "followed_account_id", "__in"), "id", "left").join(count(follows, "follower_account_id", "__out"), "id", "left").join(count(statuses, "account_id", "__posts"), "id", "left")
+    json = lambda name: F.get_json_object("raw", f"$.{name}")
+    said = lambda *names: F.coalesce(*[F.nullif(json(n), F.lit("")) for n in names])
+    number = lambda name, counted: F.coalesce(json(name).try_cast("bigint"), counted, F.lit(0).cast("bigint"))
     return out.select(
-        "id", T.account_label(F.col("acct")).alias("label"), T.account_domain(F.col("acct")).alias("domain"), "bot",
-        F.coalesce(stated, "__in", F.lit(0)).alias("followers"), F.coalesce("__out", F.lit(0)).alias("following"), F.coalesce("__posts", F.lit(0)).alias("statuses"),
+        "id", T.account_label(F.col("acct")).alias("label"), "username", F.coalesce(said("display_name"), F.nullif("username", F.lit("")), "acct").alias("display_name"), "bot",
+        F.coalesce(F.nullif("__home", F.lit("")), T.account_domain(F.col("acct"))).alias("domain"), F.coalesce(json("note"), F.lit("")).alias("note"),
+        said("avatar", "avatar_static").alias("avatar"), said("header", "header_static").alias("header"),
+        F.coalesce(said("url", "uri"), F.concat(F.lit("https://"), F.col("__home"), F.lit("/@"), F.col("username"))).alias("url"),
+        number("followers_count", F.col("__in")).alias("followers"), number("following_count", F.col("__out")).alias("following"), number("statuses_count", F.col("__posts")).alias("statuses"),
+        json("created_at").alias("created_at"), json("last_status_at").alias("last_status_at"), F.coalesce(json("fields"), F.lit("[]")).alias("fields"),
     )
 
 

@@ -1,8 +1,9 @@
 """Communities by parallel local moves: modularity (two levels, optional split) and the map equation.
 
 All nodes of one hash parity look at their neighbours' communities at once and take the best;
-moving half of the nodes a round keeps two neighbours from swapping for ever.  A round that
-doesn't improve the objective is not taken.  Only the objective reaches the driver.
+moving half of the nodes a round keeps two neighbours from swapping for ever.  Rounds go on until
+both halves together improve the objective by no more than ``TOLERANCE``; a state that is worse
+than an earlier one is not kept.  Only the objective reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,11 @@ from .components import connected_components
 from .iterate import cut
 
 
+#: A pair of rounds must improve modularity, or the codelength as a share of it, by more than this to go on.
+TOLERANCE = 1e-3
+ROUNDS = 20
+
+
 def _undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every pair with their summed weight, loops kept (they weigh inside)."""
     flip = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
@@ -26,7 +32,7 @@ def _modularity_level(both: DataFrame, nodes: DataFrame, rounds: int, gamma: flo
     k = both.groupBy("src").agg(F.sum("weight").alias("k"))
     total = both.agg(F.sum("weight").alias("m2"))
     state = cut(nodes.join(k.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("id").alias("community"), F.coalesce("k", F.lit(0.0)).alias("k")))
-    best = None
+    best, before = None, float("-inf")
     links = both.where("src <> dst")
     for r in range(rounds):
         strength = state.groupBy("community").agg(F.sum("k").alias("s"))
@@ -41,15 +47,17 @@ def _modularity_level(both: DataFrame, nodes: DataFrame, rounds: int, gamma: flo
         turn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == r % 2
         moved = cut(pick.select("id", F.when(turn, -F.col("x.c")).otherwise(F.col("home")).alias("community"), "k"))
         q = metrics.modularity(links.where("src < dst"), moved, gamma).collect()[0][0]
-        if best is not None and q <= best[0] + 1e-9 and r % 2:
-            break
         if best is None or q > best[0]:
             best = (q, moved)
         state = moved
+        if r % 2:
+            if best[0] <= before + TOLERANCE:
+                break
+            before = best[0]
     return best[1].select("id", "community") if best else state.select("id", "community")
 
 
-def modularity_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, levels: int = 2, gamma: float = 1.0, seed: int = 42, split: bool = False) -> DataFrame:
+def modularity_communities(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, levels: int = 2, gamma: float = 1.0, seed: int = 42, split: bool = False) -> DataFrame:
     """(id, community): local moves, then the same on the graph of communities; with ``split`` disconnected communities part."""
     both = cut(_undirected(edges))
     part = nodes.select("id", F.col("id").alias("community"))
@@ -73,7 +81,7 @@ def split_disconnected(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return connected_components(inside, partition.select("id")).select("id", F.col("component").alias("community"))
 
 
-def flow_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, seed: int = 1, flow: DataFrame | None = None) -> DataFrame:
+def flow_communities(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS, seed: int = 1, flow: DataFrame | None = None) -> DataFrame:
     """(id, community) by moves that lower the codelength of a random walk on the directed graph."""
     plogp = metrics.plogp
     flow = metrics.page_rank(edges, nodes) if flow is None else flow
@@ -83,7 +91,7 @@ def flow_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, seed:
     base = cut(flow.join(total, "id", "left").select("id", "flow", F.coalesce("out_f", F.lit(0.0)).alias("out_f")))
     state = cut(base.select("id", F.col("id").alias("community")))
     best = metrics.codelength(edges, flow, state).collect()[0]["codelength"] or 0.0
-    kept, misses = state, 0
+    kept, before = state, best
     for r in range(rounds):
         at = state.select("id", "community")
         src, dst = at.select(F.col("id").alias("src"), F.col("community").alias("cs")), at.select(F.col("id").alias("dst"), F.col("community").alias("cd"))
@@ -110,11 +118,12 @@ def flow_communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10, seed:
         moves = rows.where(turn).select("id", "community", change.alias("d")).where("d < -1e-12").groupBy("id").agg(F.min(F.struct("d", "community")).alias("x"))
         state = cut(at.join(moves, "id", "left").select("id", F.coalesce("x.community", "community").alias("community")))
         now = metrics.codelength(edges, flow, state).collect()[0]["codelength"] or 0.0
-        if now < best - 1e-9:
-            best, kept, misses = now, state, 0
+        if now < best:
+            best, kept = now, state
         else:
-            misses += 1
-            if misses == 2:
-                break
             state = kept
+        if r % 2:
+            if best >= before * (1 - TOLERANCE):
+                break
+            before = best
     return kept

@@ -59,23 +59,57 @@ def resolve_parents(statuses: DataFrame) -> DataFrame:
     return statuses.join(p, ["instance_id", "in_reply_to_mastodon_id"], "left")
 
 
+def _ref(name: str, domain: str = "instance_domain", key: str = "mastodon_id") -> Column:
+    return F.struct(F.col(domain).alias("instance_domain"), F.col(key).alias("mastodon_id")).alias(name)
+
+
 def merge_bundle(existing: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """M4: instances, then accounts, then statuses (each by natural key, references resolved), and the summary.
+    """M4: the nine tables of a bundle in the order of their references (topics, instances, accounts, statuses, then what hangs on them).
 
-    Incoming accounts name their server by domain, incoming statuses their author by (domain, mastodon_id).
+    Existing rows have local ids, incoming ones natural keys; each table is merged by natural key
+    (M3) once its references are resolved (J12).  New rows get the hash of their key as id.
+    Incoming accounts, statuses and links whose reference is unknown are left out (``unresolved``
+    has the statuses); a status keeps a null parent where that one is unknown.  The summary has
+    new and existing rows by table.
     """
     out, flags = {}, {}
-    inst = incoming["instances"].withColumn("id", surrogate("domain"))
-    out["instances"], flags["instances"] = insert_only(existing["instances"], inst, ["domain"])
-    acc, _ = resolve(incoming["accounts"], out["instances"], {"domain": "domain"}, "instance_id")
-    acc = acc.withColumn("id", surrogate("domain", "mastodon_id"))
-    out["accounts"], flags["accounts"] = insert_only(existing["accounts"], acc, ["instance_id", "mastodon_id"])
-    home = out["instances"].select(F.col("id").alias("instance_id"), "domain")
-    who = out["accounts"].select("id", "instance_id", "mastodon_id").join(home, "instance_id")
-    st, lost = resolve(incoming["statuses"], who, {"author_domain": "domain", "author_mastodon_id": "mastodon_id"}, "account_id")
-    st = st.withColumn("id", surrogate("author_domain", "mastodon_id")).withColumn("domain", F.col("author_domain"))
-    out["statuses"], flags["statuses"] = insert_only(existing["statuses"], st, ["domain", "mastodon_id"])
-    out["unresolved"] = lost
+
+    def add(name: str, rows: DataFrame, key: list[str]) -> None:
+        old = existing[name]
+        rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+        out[name], flags[name] = insert_only(old, rows, key)
+
+    add("topics", incoming["topics"].withColumn("id", surrogate("name")), ["name"])
+    topic = out["topics"].select(F.col("id").alias("topic_id"), F.col("name").alias("__topic"))
+    inst = incoming["instances"].join(topic, F.col("discovered_via_topic") == F.col("__topic"), "left").withColumn("id", surrogate("domain"))
+    add("instances", inst, ["domain"])
+    home = out["instances"].select(F.col("id").alias("instance_id"), F.col("domain").alias("instance_domain"))
+    acc = incoming["accounts"].join(home, "instance_domain").withColumn("id", surrogate("instance_domain", "mastodon_id"))
+    add("accounts", acc, ["instance_id", "mastodon_id"])
+
+    def known(table: str, into: str) -> DataFrame:
+        rows = out[table].select(F.col("id").alias(into), "instance_id", "mastodon_id").join(home, "instance_id")
+        return rows.select(into, _ref("__ref"))
+
+    def found(rows: DataFrame, ref: str, table: str, into: str, how: str = "inner") -> DataFrame:
+        return rows.join(known(table, into).withColumnRenamed("__ref", ref), ref, how)
+
+    st = incoming["statuses"].join(home, "instance_domain").withColumn("id", surrogate("instance_domain", "mastodon_id"))
+    out["unresolved"] = st.join(known("accounts", "account_id").withColumnRenamed("__ref", "account_ref"), "account_ref", "left_anti")
+    st = found(st, "account_ref", "accounts", "account_id")
+    # parents are looked up among old and new statuses alike, so their order in the file doesn't matter
+    every = existing["statuses"].select("id", "instance_id", "mastodon_id").join(home, "instance_id").select("id", _ref("__ref"), F.lit(0).alias("new"))
+    every = every.unionByName(st.select("id", _ref("__ref"), F.lit(1).alias("new"))).groupBy("__ref").agg(F.min_by("id", "new").alias("id"))
+    for ref, into in (("reblog_of_ref", "reblog_of_id"), ("in_reply_to_ref", "in_reply_to_id")):
+        st = st.join(every.select(F.col("__ref").alias(ref), F.col("id").alias(into)), ref, "left")
+    add("statuses", st, ["instance_id", "mastodon_id"])
+    for name, extra in (("status_hashtags", "hashtag"), ("mentions", "mentioned_acct")):
+        add(name, found(incoming[name], "status_ref", "statuses", "status_id"), ["status_id", extra])
+    tags = incoming["topic_hashtags"].join(topic, F.col("topic_name") == F.col("__topic")).join(home, "instance_domain")
+    add("topic_hashtags", tags, ["topic_id", "instance_id", "hashtag"])
+    add("reblogs", found(found(incoming["reblogs"], "status_ref", "statuses", "status_id"), "booster_account_ref", "accounts", "booster_account_id"), ["status_id", "booster_account_id"])
+    links = found(found(incoming["follows"], "follower_ref", "accounts", "follower_account_id"), "followed_ref", "accounts", "followed_account_id")
+    add("follows", links, ["follower_account_id", "followed_account_id"])
     return out, import_summary(flags)
 
 
@@ -95,22 +129,26 @@ def append_run(runs: DataFrame, run: DataFrame) -> DataFrame:
     return runs.unionByName(run)
 
 
-def export_accounts(accounts: DataFrame, instances: DataFrame) -> DataFrame:
-    """Accounts with the server's domain in the place of its id."""
-    home = instances.select(F.col("id").alias("instance_id"), "domain")
-    return accounts.join(home, "instance_id").select(F.struct(F.col("domain").alias("instance_domain"), "mastodon_id").alias("natural_key"), "acct", "username", "bot")
-
-
-def export_statuses(statuses: DataFrame, accounts: DataFrame, instances: DataFrame) -> DataFrame:
-    """Statuses with natural keys of author and parents (null where there is none)."""
-    home = instances.select(F.col("id").alias("instance_id"), "domain")
-    author = accounts.select(F.col("id").alias("account_id"), F.col("mastodon_id").alias("author"), "instance_id").join(home, "instance_id").select("account_id", "author", F.col("domain").alias("author_domain"))
-    own = statuses.join(home, "instance_id").join(author, "account_id")
-    named = statuses.join(home, "instance_id").select("id", F.col("domain").alias("d"))
-    for ref, name in (("in_reply_to_id", "parent"), ("reblog_of_id", "reblog")):
-        own = own.join(named.select(F.col("id").alias(ref), F.col("d").alias(f"{name}_domain")), ref, "left")
-    key = lambda domain, i: F.when(F.col(domain).isNotNull(), F.concat_ws("/", domain, F.col(i).cast("string")))
-    return own.select(
-        key("domain", "id").alias("status"), F.concat_ws("/", "author_domain", "author").alias("account"), "language", "created_at", "source",
-        key("parent_domain", "in_reply_to_id").alias("in_reply_to"), key("reblog_domain", "reblog_of_id").alias("reblog_of"),
-    )
+def export_bundle(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The nine tables with ids replaced by natural keys (server's domain, the server's id).
+
+    Rows whose server, account or status is missing are left out; a missing parent post or topic is null.
+    """
+    home = t["instances"].select(F.col("id").alias("instance_id"), F.col("domain").alias("instance_domain"))
+    topic = t["topics"].select(F.col("id").alias("topic_id"), F.col("name").alias("topic_name"))
+    acc = t["accounts"].join(home, "instance_id")
+    who = lambda id_col, name: acc.select(F.col("id").alias(id_col), _ref(name))
+    post = t["statuses"].join(home, "instance_id")
+    which = lambda id_col, name: post.select(F.col("id").alias(id_col), _ref(name))
+    st = post.join(who("account_id", "account_ref"), "account_id").join(which("reblog_of_id", "reblog_of_ref"), "reblog_of_id", "left").join(which("in_reply_to_id", "in_reply_to_ref"), "in_reply_to_id", "left")
+    return {
+        "topics": t["topics"].select("name"),
+        "instances": t["instances"].join(topic, "topic_id", "left").select("domain", F.col("topic_name").alias("discovered_via_topic"), "active_users"),
+        "accounts": acc.select("instance_domain", "mastodon_id", "acct", "username", "bot"),
+        "statuses": st.select("instance_domain", "mastodon_id", "account_ref", "language", "created_at", "reblog_of_ref", "in_reply_to_ref", "source", "deleted_at"),
+        "status_hashtags": t["status_hashtags"].join(which("status_id", "status_ref"), "status_id").select("status_ref", "hashtag"),
+        "mentions": t["mentions"].join(which("status_id", "status_ref"), "status_id").select("status_ref", "mentioned_acct"),
+        "topic_hashtags": t["topic_hashtags"].select("topic_id", "instance_id", "hashtag", "usage_count").join(topic, "topic_id").join(home, "instance_id").select("topic_name", "instance_domain", "hashtag", "usage_count"),
+        "reblogs": t["reblogs"].join(which("status_id", "status_ref"), "status_id").join(who("booster_account_id", "booster_account_ref"), "booster_account_id").select("status_ref", "booster_account_ref"),
+        "follows": t["follows"].join(who("follower_account_id", "follower_ref"), "follower_account_id").join(who("followed_account_id", "followed_ref"), "followed_account_id").select("follower_ref", "followed_ref"),
+    }

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .iterate import cut
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 40) -> DataFrame:
     """(id, flow): stationary flow by weighted links, with the flow of dead ends spread evenly.
 
     Each round is one join and one aggregate, written to the shared folder (a round refers to the
-    one before it twice, so plans would double); their number is fixed so results can be compared.
+    one before it twice, so plans would double), until the flow changes by no more than the tolerance
+    in sum (the error left is at most the tolerance times damping / (1 - damping)) or ``rounds`` are done.
     """
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     p = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p")))
@@ -24,7 +25,10 @@ def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
         got = flow.select(F.col("id").alias("src"), "flow").join(p, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("flow") * F.col("p")).alias("got"))
         dead = flow.agg(F.coalesce(F.sum(F.when(~F.col("moves"), F.col("flow"))), F.lit(0.0)).alias("dead"))
         new = F.lit(1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("dead") / F.col("n"))
-        flow = cut(base.join(got, "id", "left").crossJoin(dead).select("id", "moves", "n", new.alias("flow")))
+        last = flow.select("id", F.col("flow").alias("last"))
+        flow = cut(base.join(got, "id", "left").join(last, "id").crossJoin(dead).select("id", "moves", "n", new.alias("flow"), "last"))
+        if (flow.agg(F.sum(F.abs(F.col("flow") - F.col("last")))).collect()[0][0] or 0.0) <= tolerance:
+            break
     return flow.select("id", "flow")
 
 

@@ -26,21 +26,21 @@ def configuration(edges: DataFrame, seed: int = 1) -> DataFrame:
     return placed.join(weights, "rn").select("src", "dst", "weight")
 
 
-def savings(edges: DataFrame, nodes: DataFrame, rounds: int = 6) -> DataFrame:
+def savings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """How much shorter communities make the code: 1 - L / L of one module."""
-    flow = metrics.page_rank(edges, nodes, rounds=10)
-    found = communities.flow_communities(edges, nodes, rounds, flow=flow)
+    flow = metrics.page_rank(edges, nodes, tolerance=1e-4)
+    found = communities.flow_communities(edges, nodes, flow=flow)
     whole = nodes.select("id", F.lit(0).cast("bigint").alias("community"))
     a, b = metrics.codelength(edges, flow, found).select(F.col("codelength").alias("l")), metrics.codelength(edges, flow, whole).select(F.col("codelength").alias("l1"))
     return a.crossJoin(b).select(F.when(F.col("l1") > 0, 1 - F.col("l") / F.col("l1")).otherwise(0.0).alias("saved"))
 
 
-def significance(edges: DataFrame, nodes: DataFrame, replicates: int = 5, rounds: int = 6) -> DataFrame:
+def significance(edges: DataFrame, nodes: DataFrame, replicates: int = 5) -> DataFrame:
     """Real savings against null graphs: mean, deviation, z (infinite without spread), verdict z > 3."""
-    real = cut(savings(edges, nodes, rounds).select(F.col("saved").alias("real")))
+    real = cut(savings(edges, nodes).select(F.col("saved").alias("real")))
     null = None
     for k in range(replicates):
-        one = cut(savings(cut(configuration(edges, k + 1)), nodes, rounds))
+        one = cut(savings(cut(configuration(edges, k + 1)), nodes))
         null = one if null is None else null.unionByName(one)
     stats = null.agg(F.avg("saved").alias("null_mean"), F.stddev_pop("saved").alias("null_std"))
     z: Column = F.when(F.col("null_std") > 0, (F.col("real") - F.col("null_mean")) / F.col("null_std")).otherwise(F.lit(float("inf")))

@@ -106,12 +106,17 @@ def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def live(posts: DataFrame) -> DataFrame:
+    """Posts that are not deleted: every listing, lookup and detail leaves deleted ones out."""
+    return posts.where("deleted_at IS NULL")
+
+
 def with_authors(posts: DataFrame, accounts: DataFrame, instances: DataFrame, exact: bool = False) -> DataFrame:
-    """Posts with author and server, content cleaned."""
-    a = accounts.select(F.col("id").alias("account_id"), "acct", "bot", F.col("instance_id").alias("home_id"))
-    i = instances.select(F.col("id").alias("home_id"), "domain")
+    """Posts that are not deleted with their author and the server they were seen on, content cleaned."""
+    a = accounts.select(F.col("id").alias("account_id"), "acct", "bot")
+    i = instances.select(F.col("id").alias("instance_id"), "domain")
     clean = (T.clean_html if exact else T.clean_html_basic)(F.col("content"))
-    return posts.join(a, "account_id").join(i, "home_id").withColumn("content", clean)
+    return live(posts).join(a, "account_id").join(i, "instance_id").withColumn("content", clean)
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -138,9 +143,10 @@ def carried_cursor(runs: DataFrame) -> DataFrame:
 
 
 def first_of_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """L6, S6 (with a descending order): the first row of each key in a total order."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The first row of each key in an ascending order (``merge.latest`` for the last one); an aggregate, so a hot key is combined before the shuffle."""
+    others = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__x"))
+    return best.select(*key, *[F.col(f"__x.{c}").alias(c) for c in others])
 
 
 def known_hashtags(tags: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ EDGE = ("src", "dst", "kind", "weight", "first_ts", "last_ts")
 def fused_accounts(accounts: DataFrame, instances: DataFrame) -> DataFrame:
     """(id, canon, node): the copies of an account share the smallest id of their canonical name."""
     home = instances.select(F.col("id").alias("instance_id"), "domain")
-    named = accounts.join(home, "instance_id").withColumn("canon", canonical_acct(F.col("acct"), F.col("domain"), fold_case=True))
+    named = accounts.join(home, "instance_id").withColumn("canon", canonical_acct(F.col("acct"), F.col("domain")))
     first = named.groupBy("canon").agg(F.min("id").alias("node"))
     return named.join(first, "canon")
 
@@ -40,11 +40,14 @@ def _live(statuses: DataFrame) -> DataFrame:
 
 
 def boost_edges(statuses: DataFrame, reblogs: DataFrame) -> DataFrame:
-    """Author to booster, from the boosts table and from reblog posts (counted twice where both know it)."""
-    author = _live(statuses).select(F.col("id").alias("status_id"), F.col("account_id").alias("src"), F.col("created_at").alias("ts"))
-    listed = reblogs.join(author, "status_id").select("src", F.col("booster_account_id").alias("dst"), "ts")
+    """Author to booster, from the boosts table and from reblog posts (counted twice where both know it).
+
+    The boosts table has no times, so only reblog posts give first and last time.
+    """
+    author = _live(statuses).select(F.col("id").alias("status_id"), F.col("account_id").alias("src"))
+    listed = reblogs.join(author, "status_id").select("src", F.col("booster_account_id").alias("dst"), F.lit(None).cast("timestamp").alias("ts"))
     copies = _live(statuses).where("reblog_of_id IS NOT NULL").select(F.col("reblog_of_id").alias("status_id"), F.col("account_id").alias("dst"), F.col("created_at").alias("ts"))
-    posted = copies.join(author.drop("ts"), "status_id").select("src", "dst", "ts")
+    posted = copies.join(author, "status_id").select("src", "dst", "ts")
     return _summed(listed.unionByName(posted), "boost")
 
 
@@ -56,17 +59,17 @@ def reply_edges(statuses: DataFrame) -> DataFrame:
 
 
 def mention_edges(statuses: DataFrame, mentions: DataFrame, fused: DataFrame, instances: DataFrame, dedup_copies: bool = False) -> DataFrame:
-    """The mentioned account to the author.  Every cached copy of an account matches, unless ``dedup_copies``."""
+    """The author to the mentioned account.  Every cached copy of an account matches, unless ``dedup_copies``."""
     home = instances.select(F.col("id").alias("instance_id"), "domain")
-    said = mentions.join(_live(statuses).select(F.col("id").alias("status_id"), "instance_id", F.col("account_id").alias("dst"), F.col("created_at").alias("ts")), "status_id")
-    said = said.join(home, "instance_id").withColumn("canon", canonical_acct(F.col("mentioned_acct"), F.col("domain"), fold_case=True))
-    who = fused.select("canon", F.col("node" if dedup_copies else "id").alias("src")).distinct()
+    said = mentions.join(_live(statuses).select(F.col("id").alias("status_id"), "instance_id", F.col("account_id").alias("src"), F.col("created_at").alias("ts")), "status_id")
+    said = said.join(home, "instance_id").withColumn("canon", canonical_acct(F.col("mentioned_acct"), F.col("domain")))
+    who = fused.select("canon", F.col("node" if dedup_copies else "id").alias("dst")).distinct()
     return _summed(said.join(who, "canon").select("src", "dst", "ts"), "mention")
 
 
 def follow_edges(follows: DataFrame) -> DataFrame:
-    """The followed account to the follower, one for each row."""
-    return _summed(follows.select(F.col("followed_account_id").alias("src"), F.col("follower_account_id").alias("dst"), F.lit(None).cast("timestamp").alias("ts")), "follow")
+    """The follower to the followed account, one for each row."""
+    return _summed(follows.select(F.col("follower_account_id").alias("src"), F.col("followed_account_id").alias("dst"), F.lit(None).cast("timestamp").alias("ts")), "follow")
 
 
 def _summed(rows: DataFrame, kind: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions import text as T
@@ -28,9 +28,15 @@ def score_texts(texts: DataFrame, scorer: Callable[[pd.Series], pd.Series], batc
             for i in range(0, len(some), batch):
                 at = some[i : i + batch]
                 out.loc[at] = pd.Series(list(scorer(b.loc[at, "text"])), index=at, dtype=float)
-            yield pd.DataFrame({"id": b["id"], "score": out.astype(object).where(out.notna(), None)})
+            yield pd.DataFrame({"key": b["key"], "score": out.astype(object).where(out.notna(), None)})
 
-    return ranged.sortWithinPartitions("n", "id").mapInPandas(run, "id long, score double")
+    scored = ranged.select(F.to_json(F.struct("id")).alias("key"), "text", "wanted", "n", "id").sortWithinPartitions("n", "id").drop("id").mapInPandas(run, "key string, score double")
+    return scored.select(whole_id(texts), "score")
+
+
+def whole_id(rows: DataFrame) -> Column:
+    """The id of a row from its JSON ``key``: as text it passes through pandas untouched, even beside nulls."""
+    return F.from_json("key", f"id {rows.schema['id'].dataType.simpleString()}")["id"].alias("id")
 
 
 def mock_scorer(texts: pd.Series) -> pd.Series:
@@ -45,9 +51,11 @@ def judge_claims(claims: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = judge(b)
-            yield pd.DataFrame({"id": b["id"], "verdict": out["verdict"], "confidence": out["confidence"], "reasoning": out["reasoning"]})
+            yield pd.DataFrame({"key": b["key"], "verdict": out["verdict"], "confidence": out["confidence"], "reasoning": out["reasoning"]})
 
-    done = claims.select("id", "text", "date", "evidence").mapInPandas(run, "id long, verdict string, confidence double, reasoning string")
+    keyed = claims.select(F.to_json(F.struct("id")).alias("key"), "text", "date", "evidence")
+    done = keyed.mapInPandas(run, "key string, verdict string, confidence double, reasoning string")
+    done = done.select(whole_id(claims), "verdict", "confidence", "reasoning")
     verdict = T.normalize_verdict(F.col("verdict"))
     return done.withColumn("verdict", verdict).withColumn("veracity", T.veracity_of(F.col("verdict")))
 

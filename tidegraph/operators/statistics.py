@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions import scores as S
 
+from .iterate import cut
+
 
 def rows_of(spark, values: list, schema: str) -> DataFrame:
     """A small fixed frame, such as all bins of a histogram."""
@@ -48,22 +50,55 @@ def histogram(scores: DataFrame, bins: int = 5, column: str = "probability") ->
     return every.join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _ranges(rows: DataFrame, *cols: str) -> DataFrame:
+    """``rows`` sorted into ranges of sampled width, the range's number in ``__b``; written, so that every use sees the same ranges."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(rows.repartitionByRange(n, *cols).withColumn("__b", F.spark_partition_id()))
+
+
+def elements(rows: DataFrame, column: str, places: dict[str, Column]) -> DataFrame:
+    """The elements of the sorted values at some places (from 0; expressions of their number ``n``), one row.
+
+    Equal values are counted first, then running counts are taken within ranges of values and
+    offset by the ranges before, so neither a hot value nor all values meet in one task.
+    """
+    by = _ranges(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("m")), "v")
+    sizes = by.groupBy("__b").agg(F.sum("m").alias("s"))
+    before = F.sum("s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    offsets = sizes.select("__b", F.coalesce(before, F.lit(0)).alias("o"))
+    upto = F.sum("m").over(Window.partitionBy("__b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    run = by.withColumn("upto", upto).join(offsets, "__b").withColumn("upto", F.col("upto") + F.col("o"))
+    run = run.crossJoin(sizes.agg(F.sum("s").alias("n")))
+    at = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("m") <= k)
+    return run.agg(*[F.max(F.when(at(k), F.col("v"))).alias(name) for name, k in places.items()])
+
+
 def upper_median(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """The element at place n div 2 of the sorted values; values are counted first, so the window runs over distinct values."""
-    by = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = by.crossJoin(by.agg(F.sum("n").alias("all"))).withColumn("upto", F.sum("n").over(Window.partitionBy("all").orderBy("v")))
-    return upto.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("v").alias(name))
+    """The element at place n div 2 of the sorted values."""
+    return elements(rows, column, {name: F.floor(F.col("n") / 2)})
+
+
+def quantiles(rows: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles, one row, interpolated between neighbours."""
+    places = {}
+    for name, q in wanted.items():
+        at = F.lit(q) * (F.col("n") - 1)
+        places |= {f"{name}__lo": F.floor(at), f"{name}__hi": F.ceil(at), f"{name}__n": F.lit(0)}
+    n = rows.where(F.col(column).isNotNull()).agg(F.count("*").alias("n"))
+    got = elements(rows, column, places).crossJoin(n)
+    part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    return got.select(*[(F.col(f"{name}__lo") * (1 - part(q)) + F.col(f"{name}__hi") * part(q)).alias(name) for name, q in wanted.items()])
 
 
 def descriptive(scores: DataFrame) -> DataFrame:
     """Count; mean, median, population deviation, min and max of the probability in percent; criterion mean, min, max; mean tokens."""
     p = S.present(F.col("probability"))
     rows = scores.withColumn("p", p).where("p IS NOT NULL").withColumn("c", S.present(F.col("criterion")))
-    return rows.agg(
-        F.count("*").alias("n"), (F.avg("p") * 100).alias("mean"), (F.expr("percentile(p, 0.5)") * 100).alias("median"),
-        (F.stddev_pop("p") * 100).alias("std"), (F.min("p") * 100).alias("min"), (F.max("p") * 100).alias("max"),
+    one = rows.agg(
+        F.count("*").alias("n"), (F.avg("p") * 100).alias("mean"), (F.stddev_pop("p") * 100).alias("std"), (F.min("p") * 100).alias("min"), (F.max("p") * 100).alias("max"),
         F.avg("c").alias("criterion_mean"), F.min("c").alias("criterion_min"), F.max("c").alias("criterion_max"), F.avg("ntokens").alias("avg_tokens"),
     )
+    return one.crossJoin(quantiles(rows, "p", {"median": 0.5}).select((F.col("median") * 100).alias("median")))
 
 
 def criterion_median(scores: DataFrame) -> DataFrame:
@@ -89,21 +124,19 @@ def systematic(rows: DataFrame, k: int, group: list[str], key: str = "id") -> Da
     return placed.where((F.col("n") <= k) | (F.floor(i * F.col("n") / k) == F.col("rn")) & (i < k)).drop("rn", "n")
 
 
-def numbered(rows: DataFrame, group: list[str], key: str = "id", buckets: int = 256) -> DataFrame:
+def numbered(rows: DataFrame, group: list[str], key: str = "id") -> DataFrame:
     """Rows with their place ``rn`` (from 0) in their group by key, and the group's size ``n``.
 
-    Keys are cut into ranges of equal width within the group; places are counted inside a range and
-    offset by the sizes of the ranges before it.
+    Rows are dealt into ranges by sampled quantiles of group and key; places are counted inside a
+    range and offset by the sizes of the group's ranges before it.
     """
-    ends = rows.groupBy(*group).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"), F.count("*").alias("n"))
-    cut = rows.join(F.broadcast(ends), group)
-    width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.lit(buckets)), F.lit(1))
-    cut = cut.withColumn("__b", F.floor((F.col(key) - F.col("__lo")) / width))
-    sizes = cut.groupBy(*group, "__b").agg(F.count("*").alias("__m"))
-    before = F.sum("__m").over(Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*group, "__b", F.coalesce(before, F.lit(0)).alias("__o"))
+    ranged = _ranges(rows, *group, key)
+    sizes = ranged.groupBy(*group, "__b").agg(F.count("*").alias("__m"))
+    of_group = Window.partitionBy(*group)  # one row for each range
+    before = F.sum("__m").over(of_group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*group, "__b", F.coalesce(before, F.lit(0)).alias("__o"), F.sum("__m").over(of_group).alias("n"))
     inside = F.row_number().over(Window.partitionBy(*group, "__b").orderBy(key)) - 1
-    return cut.withColumn("__r", inside).join(F.broadcast(offsets), [*group, "__b"]).withColumn("rn", F.col("__r") + F.col("__o")).drop("__lo", "__hi", "__b", "__r", "__o")
+    return ranged.withColumn("__r", inside).join(offsets, [*group, "__b"]).withColumn("rn", F.col("__r") + F.col("__o")).drop("__b", "__r", "__o")
 
 
 def sample_estimates(scores: DataFrame, posts: DataFrame, k: int = 1000) -> DataFrame:
@@ -144,11 +177,12 @@ def detector_report(texts: DataFrame, threshold: float = 0.9, steepness: float =
     """A10: totals and score statistics of scored texts (id, text, lang, score)."""
     ok = texts.withColumn("label", S.detector_label(F.col("score"), F.col("text"), threshold)).withColumn("words", S.word_count(F.coalesce("text", F.lit(""))))
     ok = ok.withColumn("s", F.when(F.col("label") != S.EMPTY_LABEL, S.present(F.col("score")))).withColumn("pct", S.ai_percentage(F.col("s"), threshold, steepness))
-    return ok.agg(
+    one = ok.agg(
         F.count("*").alias("total"), F.count("s").alias("scored"), F.count_if(F.col("label") == S.EMPTY_LABEL).alias("empty"),
         F.count_if(F.col("s").isNotNull() & (F.col("words") < 50)).alias("short"), F.count_if(F.col("s") < threshold).alias("ai"), F.count_if(F.col("s") >= threshold).alias("human"),
-        F.avg("s").alias("score_mean"), F.expr("percentile(s, 0.5)").alias("score_median"), F.min("s").alias("score_min"), F.max("s").alias("score_max"), F.stddev_pop("s").alias("score_std"),
+        F.avg("s").alias("score_mean"), F.min("s").alias("score_min"), F.max("s").alias("score_max"), F.stddev_pop("s").alias("score_std"),
     )
+    return one.crossJoin(quantiles(ok, "s", {"score_median": 0.5}))
 
 
 def detector_bins(texts: DataFrame, threshold: float = 0.9, steepness: float = 25.0) -> DataFrame:
@@ -201,7 +235,7 @@ def union_hashtags(found: DataFrame) -> DataFrame:
 def quartile_estimates(scores: DataFrame) -> DataFrame:
     """Quartiles estimated from median and deviation, beside the exact ones."""
     p = scores.select(S.present(F.col("probability")).alias("p"))
-    s = p.agg(F.expr("percentile(p, 0.5)").alias("median"), F.stddev_pop("p").alias("std"), F.expr("percentile(p, 0.25)").alias("q1_exact"), F.expr("percentile(p, 0.75)").alias("q3_exact"))
+    s = p.agg(F.stddev_pop("p").alias("std")).crossJoin(quantiles(p, "p", {"median": 0.5, "q1_exact": 0.25, "q3_exact": 0.75}))
     return s.withColumn("q1", F.col("median") - 0.674 * F.col("std")).withColumn("q3", F.col("median") + 0.674 * F.col("std")).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 

@@ -10,16 +10,16 @@ from tidegraph.operators.iterate import cut
 
 from .registry import query
 
-FUSED = """named AS (SELECT a.*, i.domain, lower(CASE WHEN contains(acct, '@') THEN acct ELSE acct || '@' || i.domain END) AS canon FROM v_accounts a JOIN v_instances i ON i.id = a.instance_id),
+FUSED = """named AS (SELECT a.*, i.domain, CASE WHEN contains(acct, '@') THEN acct ELSE acct || '@' || i.domain END AS canon FROM v_accounts a JOIN v_instances i ON i.id = a.instance_id),
 fused AS (SELECT *, min(id) OVER (PARTITION BY canon) AS node FROM named)"""
 LIVE = "live AS (SELECT * FROM v_statuses WHERE deleted_at IS NULL)"
 BOOST = """boost AS (SELECT src, dst, count(*) AS weight, min(ts) AS first_ts, max(ts) AS last_ts FROM (
-SELECT s.account_id AS src, r.booster_account_id AS dst, s.created_at AS ts FROM v_reblogs r JOIN live s ON s.id = r.status_id
+SELECT s.account_id AS src, r.booster_account_id AS dst, cast(NULL AS timestamp) AS ts FROM v_reblogs r JOIN live s ON s.id = r.status_id
 UNION ALL SELECT o.account_id, s.account_id, s.created_at FROM live s JOIN live o ON o.id = s.reblog_of_id) WHERE src <> dst GROUP BY 1, 2)"""
 REPLY = "reply AS (SELECT p.account_id AS src, s.account_id AS dst, count(*) AS weight, min(s.created_at) AS first_ts, max(s.created_at) AS last_ts FROM live s JOIN live p ON p.id = s.in_reply_to_id WHERE p.account_id <> s.account_id GROUP BY 1, 2)"
-MENTION = """mention AS (SELECT f.id AS src, s.account_id AS dst, count(*) AS weight, min(s.created_at) AS first_ts, max(s.created_at) AS last_ts FROM v_mentions m JOIN live s ON s.id = m.status_id JOIN v_instances i ON i.id = s.instance_id
-JOIN fused f ON f.canon = lower(CASE WHEN contains(mentioned_acct, '@') THEN mentioned_acct ELSE mentioned_acct || '@' || i.domain END) WHERE f.id <> s.account_id GROUP BY 1, 2)"""
-FOLLOW = "follow AS (SELECT followed_account_id AS src, follower_account_id AS dst, count(*) AS weight, cast(NULL AS timestamp) AS first_ts, cast(NULL AS timestamp) AS last_ts FROM v_follows WHERE followed_account_id <> follower_account_id GROUP BY 1, 2)"
+MENTION = """mention AS (SELECT s.account_id AS src, f.id AS dst, count(*) AS weight, min(s.created_at) AS first_ts, max(s.created_at) AS last_ts FROM v_mentions m JOIN live s ON s.id = m.status_id JOIN v_instances i ON i.id = s.instance_id
+JOIN fused f ON f.canon = CASE WHEN contains(mentioned_acct, '@') THEN mentioned_acct ELSE mentioned_acct || '@' || i.domain END WHERE f.id <> s.account_id GROUP BY 1, 2)"""
+FOLLOW = "follow AS (SELECT follower_account_id AS src, followed_account_id AS dst, count(*) AS weight, cast(NULL AS timestamp) AS first_ts, cast(NULL AS timestamp) AS last_ts FROM v_follows WHERE followed_account_id <> follower_account_id GROUP BY 1, 2)"
 
 
 def _graph_sql(kinds: tuple[str, ...]) -> str:
@@ -134,26 +134,32 @@ def j17_induced_edges(t):
     return project.induced(g.edges(), g.nodes().where("id % 3 = 0")).select("src", "dst", "weight")
 
 
-COMP = """c0 AS (SELECT DISTINCT src AS a, dst AS b FROM {edges} UNION SELECT DISTINCT dst, src FROM {edges}), reach AS (SELECT id, id AS r FROM nodes UNION SELECT c0.b, reach.r FROM reach JOIN c0 ON c0.a = reach.id),
-comp AS (SELECT id, min(r) AS component FROM reach GROUP BY id)"""
-FCOMP = "fl AS (SELECT src, dst FROM follow WHERE src % 13 = dst % 13)"
+#: Smallest labels spread for as many steps as no shortest path here is long.
+COMP = """c0 AS (SELECT src AS a, dst AS b FROM {edges} UNION SELECT dst, src FROM {edges}),
+lab AS (SELECT 0 AS k, id, id AS c FROM nodes UNION ALL SELECT k + 1, id, min(c) FROM (SELECT k, id, c FROM lab UNION ALL SELECT l.k, c0.b, l.c FROM lab l JOIN c0 ON c0.a = l.id) WHERE k < 30 GROUP BY k, id),
+comp AS (SELECT id, c AS component FROM lab WHERE k = 30)"""
+RG2 = G2.replace("WITH ", "WITH RECURSIVE ", 1)
+RG1 = G1.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _sparse_follows(t):
-    return project.follow_edges(t.follows).where("src % 13 = dst % 13").select("src", "dst")
+@query(f"{RG2}, {NODES}, {COMP.format(edges='g')} SELECT id, component FROM comp")
+def g3_components(t):
+    """Components of the combined graph, all of its edges."""
+    g = Graph(t)
+    return connected_components(g.edges(follows=True), g.nodes().select("id"))
 
 
-@query(f"WITH RECURSIVE {FUSED}, {NODES}, {FOLLOW}, {FCOMP}, {COMP.format(edges='fl')} SELECT id, component FROM comp")
-def g3_components(t):
+@query(f"{RG1}, {NODES}, {DIFF}, {COMP.format(edges='d')} SELECT id, component FROM comp")
+def g3_diffusion_components(t):
     return _components(t)
 
 
 def _components(t):
-    nodes = Graph(t).nodes().select("id")
-    return connected_components(_sparse_follows(t), nodes)
+    g = Graph(t)
+    return connected_components(project.diffusion(g.edges()), g.nodes().select("id"))
 
 
-@query(f"""WITH RECURSIVE {FUSED}, {NODES}, {FOLLOW}, {FCOMP}, {COMP.format(edges='fl')}, sz AS (SELECT component, count(*) AS size FROM comp GROUP BY 1)
+@query(f"""{RG1}, {NODES}, {DIFF}, {COMP.format(edges='d')}, sz AS (SELECT component, count(*) AS size FROM comp GROUP BY 1)
 SELECT n.id, comp.component, size, CASE WHEN n.id % 7 = 0 THEN -1 ELSE n.id % 10 END AS community FROM nodes n JOIN comp USING (id) JOIN sz USING (component) WHERE size > 3""")
 def f16_large_components(t):
     nodes = Graph(t).nodes()
@@ -161,7 +167,9 @@ def f16_large_components(t):
     return project.large_components(_components(t), nodes, part, 3).select("id", "component", "size", "community")
 
 
-@query()
+@query(f"""{RG1}, {NODES}, {COMP.format(edges='g')}, sz AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), e AS (SELECT count(*) AS edges, count_if(w_boost > 0) AS edges_boost, count_if(w_reply > 0) AS edges_reply, count_if(w_mention > 0) AS edges_mention, count(DISTINCT src) AS sources FROM g),
+n AS (SELECT count(*) AS nodes FROM nodes), t AS (SELECT count(*) AS touched FROM (SELECT src FROM g UNION SELECT dst FROM g)), s AS (SELECT count(*) AS components, max(size) AS giant FROM sz)
+SELECT nodes, edges, edges_boost, edges_reply, edges_mention, 100.0e0 * (nodes - touched) / nodes AS isolated_pct, components, 100.0e0 * giant / nodes AS giant_pct, edges / sources AS mean_out_degree FROM n, e, t, s""")
 def g4_report(t):
     g = Graph(t)
     edges, nodes = cut(g.edges()), g.nodes()
@@ -176,6 +184,20 @@ def s12_viewer_nodes(t):
     return project.viewer(nodes, g.edges(), tenths(nodes), drop_mention_only=True)[0]
 
 
+@query(f"{G1} SELECT src, dst, weight FROM g WHERE w_boost + w_reply > 0")
+def s12_viewer_links(t):
+    g = Graph(t)
+    nodes = g.nodes()
+    return project.viewer(nodes, g.edges(), tenths(nodes), drop_mention_only=True)[1]
+
+
+@query(f"""{G1}, tp AS (SELECT DISTINCT f.node AS id FROM v_statuses s JOIN v_status_hashtags h ON h.status_id = s.id JOIN (SELECT DISTINCT lower(hashtag) AS tag, topic FROM v_topic_hashtags) k ON k.tag = lower(h.hashtag) JOIN fused f ON f.id = s.account_id WHERE contains(lower(k.topic), 'asi'))
+SELECT src, dst, weight FROM g WHERE src IN (SELECT id FROM tp) AND dst IN (SELECT id FROM tp)""")
+def f15_topic_subgraph(t):
+    g = Graph(t)
+    return project.top_subgraph(g.nodes(topics=True), g.edges(), topic="ASI")[1].select("src", "dst", "weight")
+
+
 @query("""WITH s AS (SELECT id FROM v_accounts WHERE bot ORDER BY followers DESC, id LIMIT 50), o AS (SELECT DISTINCT follower_account_id AS src, followed_account_id AS dst FROM v_follows WHERE follower_account_id IN (SELECT id FROM s)),
 r AS (SELECT o.*, row_number() OVER (PARTITION BY src ORDER BY a.followers DESC, dst) AS k FROM o JOIN v_accounts a ON a.id = o.dst) SELECT src, dst FROM r WHERE k <= 8""")
 def g18_ego_expansion(t):
@@ -199,10 +221,11 @@ def a13_chain_depths(t):
 
 @query(f"{CHAIN}, r AS (SELECT root, max(depth) AS depth, count(*) AS members FROM chain GROUP BY 1) SELECT count(*) AS chains, cast(sum(members) AS bigint) AS posts, avg(depth) AS mean_depth, max(depth) AS max_depth, 100.0e0 * count_if(depth >= 2) / count(*) AS multi_pct FROM r")
 def a13_chain_summary(t):
-    return chains.summary(chains.depths_recursive(t.statuses))
+    return chains.summary(chains.depths(t.statuses))
 
 
-@query("SELECT conv_id, count(*) AS depth FROM conversations GROUP BY 1")
+@query("""WITH RECURSIVE p AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM conversations), c AS (SELECT conv_id, turn, turn AS root, 1 AS depth FROM p WHERE parent IS NULL
+UNION ALL SELECT p.conv_id, p.turn, c.root, c.depth + 1 FROM p JOIN c ON c.conv_id = p.conv_id AND c.turn = p.parent) SELECT conv_id, max(depth) AS depth, count(*) AS members FROM c GROUP BY conv_id, root""")
 def g14_conversation_chains(t):
     return chains.conversation_chains(t.conversations)
 
@@ -211,22 +234,22 @@ RANK = f"""{G1.replace('WITH ', 'WITH RECURSIVE ', 1)}, {NODES}, {DIFF}, o AS (S
 walk AS (SELECT 0 AS k, id, 1.0e0 / count(*) OVER () AS flow FROM nodes
 UNION ALL SELECT k + 1, id, 0.15e0 / n + 0.85e0 * (got + dead / n) FROM (
   SELECT w.k, w.id, count(*) OVER () AS n, coalesce((SELECT sum(v.flow * pr.p) FROM pr JOIN walk v ON v.id = pr.src WHERE pr.dst = w.id), 0) AS got, sum(CASE WHEN o.src IS NULL THEN w.flow ELSE 0 END) OVER () AS dead
-  FROM walk w LEFT JOIN o ON o.src = w.id WHERE w.k < 5))"""
+  FROM walk w LEFT JOIN o ON o.src = w.id WHERE w.k < 40))"""
 
 
-def _flow(t, rounds: int = 5):
+def _flow(t):
     g = Graph(t)
     edges = cut(project.diffusion(g.edges()))
     nodes = g.nodes().select("id")
-    return nodes, edges, metrics.page_rank(edges, nodes, rounds=rounds)
+    return nodes, edges, metrics.page_rank(edges, nodes, tolerance=0)
 
 
-@query(f"{RANK} SELECT id, flow FROM walk WHERE k = 5")
+@query(f"{RANK} SELECT id, flow FROM walk WHERE k = 40")
 def g7_stationary_flow(t):
     return _flow(t)[2]
 
 
-@query(f"""{RANK}, f AS (SELECT id, flow FROM walk WHERE k = 5), {PART}, lv AS (SELECT a.community, sum(f.flow * d.weight / o.out) AS q FROM d JOIN o USING (src) JOIN f ON f.id = d.src JOIN p a ON a.id = d.src JOIN p b ON b.id = d.dst WHERE a.community <> b.community GROUP BY 1),
+@query(f"""{RANK}, f AS (SELECT id, flow FROM walk WHERE k = 40), {PART}, lv AS (SELECT a.community, sum(f.flow * d.weight / o.out) AS q FROM d JOIN o USING (src) JOIN f ON f.id = d.src JOIN p a ON a.id = d.src JOIN p b ON b.id = d.dst WHERE a.community <> b.community GROUP BY 1),
 m AS (SELECT community, sum(flow) AS p, sum(CASE WHEN flow > 0 THEN flow * log2(flow) ELSE 0 END) AS nl FROM f JOIN p USING (id) GROUP BY 1), x AS (SELECT m.*, coalesce(q, 0) AS q FROM m LEFT JOIN lv USING (community)),
 y AS (SELECT sum(q) AS q, sum(CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) AS ql, sum(CASE WHEN q + p > 0 THEN (q + p) * log2(q + p) ELSE 0 END) AS pl, sum(nl) AS nl, count(*) AS modules FROM x)
 SELECT modules, (CASE WHEN q > 0 THEN q * log2(q) ELSE 0 END) - 2 * ql - nl + pl AS codelength FROM y""")
@@ -278,19 +301,19 @@ def _communities(t):
 @query()
 def g5_flow_communities(t):
     edges, nodes = _communities(t)
-    return communities.flow_communities(edges, nodes, rounds=4, flow=metrics.page_rank(edges, nodes, rounds=10))
+    return communities.flow_communities(edges, nodes)
 
 
 @query()
 def g6_modularity_communities(t):
     edges, nodes = _communities(t)
-    return communities.modularity_communities(edges, nodes, rounds=4)
+    return communities.modularity_communities(edges, nodes)
 
 
 @query()
 def g6_split_communities(t):
     edges, nodes = _communities(t)
-    return communities.modularity_communities(edges, nodes, rounds=4, levels=1, split=True)
+    return communities.modularity_communities(edges, nodes, split=True)
 
 
 @query()
@@ -301,14 +324,14 @@ def g15_null_model(t):
 @query()
 def g16_significance(t):
     edges, nodes = _communities(t)
-    return nullmodel.significance(edges, nodes, replicates=2, rounds=2)
+    return nullmodel.significance(edges, nodes)
 
 
 @query()
 def g17_method_table(t):
     edges, nodes = _communities(t)
-    flow = metrics.page_rank(edges, nodes, rounds=10)
-    found = {"modularity": cut(communities.modularity_communities(edges, nodes, rounds=3, levels=1)), "flow": communities.flow_communities(edges, nodes, rounds=3, flow=flow)}
+    flow = metrics.page_rank(edges, nodes)
+    found = {"modularity": cut(communities.modularity_communities(edges, nodes)), "flow": communities.flow_communities(edges, nodes, flow=flow)}
     return metrics.method_table(edges, flow, found)
 
 
@@ -353,10 +376,19 @@ def k6_display_edges(t):
     return cascade.display_edges(t.cascade_nodes, t.cascade_edges)
 
 
+def _tree(t):
+    best = cascade.seed_leaderboard(t.cascade_nodes, t.cascade_edges).orderBy(*cascade.leader_order()).limit(1).collect()[0]["id"]
+    return cascade.tree(cut(t.cascade_nodes), cut(t.cascade_edges), best)
+
+
 @query()
 def k7_cascade_tree(t):
-    best = cascade.seed_leaderboard(t.cascade_nodes, t.cascade_edges).orderBy(*cascade.leader_order()).limit(1).collect()[0]["id"]
-    return cascade.tree(cut(t.cascade_nodes), cut(t.cascade_edges), best)[0]
+    return _tree(t)[0]
+
+
+@query()
+def k7_cascade_links(t):
+    return _tree(t)[1]
 
 
 @query("SELECT count_if(activation_step <= 5) AS activated, 100.0e0 * count_if(activation_step <= 5) / count(*) AS pct FROM v_cascade_nodes")

@@ -7,13 +7,14 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidegraph.functions import text as T
-from tidegraph.operators import merge, posts, scoring
+from tidegraph.functions import scores as S
+from tidegraph.functions.text import NO_SOURCE
+from tidegraph.operators import compare, merge, posts, scoring, statistics
 from tidegraph.operators.iterate import cut, ensure_shared_dir
 from tidegraph.sources import readers, writers
 from tidegraph.streaming import jobs
 
-from .post_queries import P, V
+from .post_queries import BINO, BT, DET, P, V, _bino_texts, detectors
 from .registry import query
 
 
@@ -59,9 +60,9 @@ def s4_bundle_files(t):
     return cut(readers.json_lines(t.spark, f"{path}/accounts", "id long, acct string, username string, bot boolean").drop("_seq"))
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01'")
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'")
 def s5_relational_scan(t):
-    return readers.relational(t.spark, f"{t.sf_dir}/orders.parquet").where("o_orderdate < timestamp'1995-01-01'").select("o_orderkey", "o_totalprice")
+    return readers.relational(t.spark, f"{t.sf_dir}/orders.parquet").where("o_orderdate < timestamp'1997-01-01'").select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT user_id AS id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
@@ -90,6 +91,86 @@ def s9_corpus_sink(t):
     return cut(readers.texts(t.spark, path).select("id", "lang"))
 
 
+KEYS = """acc AS (SELECT a.id, i.domain || '/' || a.mastodon_id AS ref, acct, bot FROM v_accounts a JOIN v_instances i ON i.id = a.instance_id),
+post AS (SELECT s.*, i.domain || '/' || s.mastodon_id AS ref FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id),
+st AS (SELECT s.*, a.ref AS author, r.ref AS reblog, p.ref AS parent FROM post s JOIN acc a ON a.id = s.account_id LEFT JOIN post r ON r.id = s.reblog_of_id LEFT JOIN post p ON p.id = s.in_reply_to_id)"""
+
+
+def bundle_lines(b):
+    """Every row of a bundle as (table_name, line)."""
+    ref = lambda c: F.concat_ws("/", f"{c}.instance_domain", f"{c}.mastodon_id")
+    some = lambda c: F.when(F.col(c).isNotNull(), ref(c)).otherwise(F.lit("-"))
+    own = F.concat_ws("/", "instance_domain", "mastodon_id")
+    lines = {
+        "topics": F.col("name"), "instances": F.concat_ws("|", "domain", "discovered_via_topic", F.col("active_users").cast("string")), "accounts": F.concat_ws("|", own, "acct", F.col("bot").cast("string")),
+        "statuses": F.concat_ws("|", own, ref("account_ref"), some("reblog_of_ref"), some("in_reply_to_ref"), "source", F.date_format("created_at", "yyyy-MM-dd"), F.coalesce(F.date_format("deleted_at", "yyyy-MM-dd"), F.lit("-"))),
+        "status_hashtags": F.concat_ws("|", ref("status_ref"), "hashtag"), "mentions": F.concat_ws("|", ref("status_ref"), "mentioned_acct"),
+        "topic_hashtags": F.concat_ws("|", "topic_name", "instance_domain", "hashtag", F.col("usage_count").cast("string")),
+        "reblogs": F.concat_ws("|", ref("status_ref"), ref("booster_account_ref")), "follows": F.concat_ws("|", ref("follower_ref"), ref("followed_ref")),
+    }
+    out = None
+    for name, line in lines.items():
+        rows = b[name].select(F.lit(name).alias("table_name"), line.alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def tables_of(t):
+    """The nine tables of a bundle, with local ids."""
+    return {n: getattr(t, n) for n in readers.BUNDLE}
+
+
+@query(f"""WITH {KEYS} SELECT 'topics' AS table_name, name AS line FROM v_topics
+UNION ALL SELECT 'instances', domain || '|' || name || '|' || active_users FROM v_instances i JOIN v_topics t ON t.id = i.topic_id
+UNION ALL SELECT 'accounts', ref || '|' || acct || '|' || bot FROM acc
+UNION ALL SELECT 'statuses', ref || '|' || author || '|' || coalesce(reblog, '-') || '|' || coalesce(parent, '-') || '|' || source || '|' || strftime(created_at, '%Y-%m-%d') || '|' || coalesce(strftime(deleted_at, '%Y-%m-%d'), '-') FROM st
+UNION ALL SELECT 'status_hashtags', ref || '|' || hashtag FROM v_status_hashtags h JOIN post ON post.id = h.status_id
+UNION ALL SELECT 'mentions', ref || '|' || mentioned_acct FROM v_mentions m JOIN post ON post.id = m.status_id
+UNION ALL SELECT 'topic_hashtags', topic || '|' || domain || '|' || hashtag || '|' || usage_count FROM v_topic_hashtags h JOIN v_instances i ON i.id = h.instance_id
+UNION ALL SELECT 'reblogs', post.ref || '|' || acc.ref FROM v_reblogs r JOIN post ON post.id = r.status_id JOIN acc ON acc.id = r.booster_account_id
+UNION ALL SELECT 'follows', a.ref || '|' || b.ref FROM v_follows f JOIN acc a ON a.id = f.follower_account_id JOIN acc b ON b.id = f.followed_account_id""")
+def s10_bundle_round_trip(t):
+    """All nine tables written with natural keys and read back."""
+    path = scratch(t.spark, "bundle")
+    writers.bundle(merge.export_bundle(tables_of(t)), path)
+    return cut(bundle_lines(readers.bundle(t.spark, path)))
+
+
+@query("SELECT id, fast AS probability_fast, bino AS probability_bino, desk AS probability_desk FROM (WITH " + DET.strip() + " SELECT * FROM (SELECT id, fast, bino, desk FROM f FULL JOIN b USING (id) FULL JOIN k USING (id)))")
+def s14_merged_scores(t):
+    path = scratch(t.spark, "merged")
+    writers.merged_scores(detectors(t, four=False), path)
+    return cut(t.spark.read.schema("id long, probability_fast double, probability_bino double, probability_desk double").json(path))
+
+
+@query(f"SELECT id, {BINO} AS ai_probability_pct, {BINO} / 100 AS probability FROM v_scores_bino")
+def s14_corrected_scores(t):
+    return writers.corrected_scores(t.scores_bino.select("id", S.ai_percentage(F.col("binoculars_score")).alias("ai_probability_pct")))
+
+
+@query(f"""WITH {BT} SELECT count(*) AS total, count(s) AS scored, count_if(s < 0.9) AS ai, avg(s) AS score_mean, (SELECT count(DISTINCT floor({BINO} / 10)) FROM v_scores_bino) AS n_bins,
+(SELECT count(DISTINCT coalesce(nullif(trim(lang), ''), '??')) FROM bt) AS n_languages, (SELECT arg_min(id, (binoculars_score, id)) FROM v_scores_bino) AS lowest FROM ok""")
+def s16_report_round_trip(t):
+    """The detector report written as one JSON object (and Markdown) and loaded again."""
+    texts, path = _bino_texts(t), scratch(t.spark, "report")
+    sections = {"bins": statistics.detector_bins(texts), "languages": statistics.by_language(texts), "extremes": statistics.extremes(texts).select("side", "score", "id")}
+    writers.write_report(statistics.detector_report(texts), sections, path, "AI detection")
+    schema = "total long, scored long, ai long, score_mean double, bins array<struct<bin: int, n: long>>, languages array<struct<lang: string, n: long, ai: long>>, extremes array<struct<side: string, score: double, id: long>>"
+    got = readers.report(t.spark, f"{path}/json", schema)
+    low = F.array_sort(F.filter("extremes", lambda x: x["side"] == "low"))[0]["id"]
+    return cut(got.select("total", "scored", "ai", "score_mean", F.size("bins").cast("long").alias("n_bins"), F.size("languages").cast("long").alias("n_languages"), low.alias("lowest")))
+
+
+@query("""SELECT id, CASE id % 5 WHEN 0 THEN v / 10.0e0 / 100 WHEN 1 THEN CASE WHEN v / 10.0e0 > 1 THEN v / 10.0e0 / 100 ELSE v / 10.0e0 END WHEN 3 THEN v / 1000.0e0 END AS probability FROM (SELECT id, id * 13 % 1000 AS v FROM v_post_texts)""")
+def t8_first_probabilities(t):
+    """Percentages, probabilities of several names, a null field (which counts as there), none."""
+    v = F.col("id") * 13 % 1000
+    tenth, unit = (v / 10.0).cast("string"), (v / 1000.0).cast("string")
+    m = F.col("id") % 5
+    raw = F.when(m == 1, F.concat(F.lit('{"ai_probability": '), tenth, F.lit("}"))).when(m == 2, F.lit('{"prob": null, "score": 0.3}')).when(m == 3, F.concat(F.lit('{"score": "'), unit, F.lit('", "ai_probability_pct": 99}'))).when(m == 4, F.lit("{}"))
+    return t.post_texts.select("id", F.when(m == 0, S.percent_probability(tenth)).otherwise(S.first_probability(raw)).alias("probability"))
+
+
 EXPORT = """SELECT i.domain || '/' || cast(s.id AS string) AS status, ai.domain || '/' || a.mastodon_id AS account, s.language, s.created_at, s.source, pi.domain || '/' || cast(p.id AS string) AS in_reply_to, ri.domain || '/' || cast(r.id AS string) AS reblog_of
 FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id JOIN v_accounts a ON a.id = s.account_id JOIN v_instances ai ON ai.id = a.instance_id LEFT JOIN v_statuses p ON p.id = s.in_reply_to_id LEFT JOIN v_instances pi ON pi.id = p.instance_id
 LEFT JOIN v_statuses r ON r.id = s.reblog_of_id LEFT JOIN v_instances ri ON ri.id = r.instance_id"""
@@ -107,6 +188,13 @@ def s11_graph_files(t):
     return cut(t.spark.read.parquet(f"{path}/edges"))
 
 
+@query("SELECT id, acct, followers FROM v_cascade_nodes")
+def s11_graph_nodes(t):
+    path = scratch(t.spark, "graph")
+    writers.graph(t.cascade_nodes, t.cascade_edges.withColumnsRenamed({"source": "src", "target": "dst"}), path, "json")
+    return cut(t.spark.read.schema("id long, acct string, followers long").json(f"{path}/nodes"))
+
+
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE cast(id % 7 AS double) / 8 END AS ai_probability FROM v_post_texts WHERE id % 11 <> 0")
 def s13_typed_rows(t):
     rows = t.post_texts.select(F.when(F.col("id") % 11 == 0, "n/a").otherwise(F.col("id").cast("string")).alias("id"), "lang", "text", F.when(F.col("id") % 3 == 0, "bad").otherwise(((F.col("id") % 7) / 8).cast("string")).alias("ai_probability"))
@@ -128,6 +216,26 @@ def s18_cascade_document(t):
     return cut(readers.cascade(t.spark, path)["nodes"].select("id", "is_ia"))
 
 
+@query("""SELECT 'edges' AS part, source AS a, target AS b, fired FROM v_cascade_edges UNION ALL SELECT 'seeds', id, NULL, NULL FROM v_cascade_nodes WHERE is_seed
+UNION ALL SELECT 'frames', id, activation_step, NULL FROM v_cascade_nodes WHERE activation_step IS NOT NULL UNION ALL SELECT 'meta', count(*), (SELECT count(*) FROM v_cascade_edges), NULL FROM v_cascade_nodes""")
+def s18_cascade_parts(t):
+    """The other frames of the document: meta, seeds, edges and frames, each slice's part in a document of its own."""
+    nodes, edges = t.cascade_nodes, t.cascade_edges
+    of = lambda df, k, item, name: df.groupBy((F.col(k) % 8).alias("slice")).agg(F.collect_list(item).alias(name))
+    frames = nodes.where("activation_step IS NOT NULL").groupBy((F.col("id") % 8).alias("slice"), F.col("activation_step").alias("step")).agg(F.collect_list("id").alias("new_nodes"))
+    frames = frames.groupBy("slice").agg(F.collect_list(F.struct("step", "new_nodes")).alias("frames"))
+    doc = of(edges, "source", F.struct("source", "target", "p_ic", "fired", "step"), "edges").join(of(nodes.where("is_seed"), "id", F.col("id"), "seeds"), "slice", "full").join(frames, "slice", "full")
+    meta = nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).select(F.lit(0).alias("slice"), F.struct("nodes", "edges").alias("meta"))
+    path = scratch(t.spark, "cascade")
+    doc.join(meta, "slice", "left").drop("slice").write.option("maxRecordsPerFile", 1).json(path)
+    got = readers.cascade(t.spark, path)
+    none = F.lit(None)
+    out = got["edges"].select(F.lit("edges").alias("part"), F.col("source").alias("a"), F.col("target").alias("b"), "fired")
+    out = out.unionByName(got["seeds"].select(F.lit("seeds").alias("part"), F.col("id").alias("a"), none.cast("long").alias("b"), none.cast("boolean").alias("fired")))
+    out = out.unionByName(got["frames"].select(F.lit("frames").alias("part"), F.col("id").alias("a"), F.col("step").cast("long").alias("b"), none.cast("boolean").alias("fired")))
+    return cut(out.unionByName(got["meta"].where("nodes IS NOT NULL").select(F.lit("meta").alias("part"), F.col("nodes").alias("a"), F.col("edges").alias("b"), none.cast("boolean").alias("fired"))))
+
+
 @query("SELECT o_orderkey AS id, lower(substr(o_orderpriority, 3)) AS hashtag FROM orders UNION SELECT cast(floor(o_orderkey / 3.0) AS bigint), 'reblogged' FROM orders WHERE o_orderkey > 0 AND o_orderkey % 7 = 0 AND cast(floor(o_orderkey / 3.0) AS bigint) NOT IN (SELECT o_orderkey FROM orders)")
 def t15_status_documents(t):
     account = F.struct(F.col("o_custkey").cast("string").alias("id"), F.lit("a").alias("acct"))
@@ -165,18 +273,52 @@ def a19_import_summary(t):
     return merge.import_summary(flags)
 
 
-@query("""SELECT 'instances' AS table_name, count_if(id % 5 = 0) AS new_rows, count_if(id % 5 <> 0) AS existing_rows FROM v_instances UNION ALL SELECT 'accounts', count(*), 0 FROM v_accounts
-UNION ALL SELECT 'statuses', count(*), 0 FROM v_statuses s JOIN v_accounts a ON a.id = s.account_id""")
+OLD = """oi AS (SELECT * FROM v_instances WHERE id % 5 <> 0), oa AS (SELECT a.* FROM v_accounts a JOIN oi ON oi.id = a.instance_id WHERE a.id % 2 = 0),
+os AS (SELECT s.* FROM v_statuses s JOIN oi ON oi.id = s.instance_id JOIN oa ON oa.id = s.account_id), al AS (SELECT a.* FROM v_accounts a JOIN v_instances i ON i.id = a.instance_id),
+sl AS (SELECT s.* FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id JOIN al ON al.id = s.account_id)"""
+
+
+def _new(name: str, every: str, old: str) -> str:
+    return f"SELECT '{name}' AS table_name, ({every}) - ({old}) AS new_rows, ({old}) AS existing_rows"
+
+
+def _linked(table: str, *ends: tuple[str, str, str]) -> tuple[str, str]:
+    """Rows of a table whose ends are among all, and among the existing rows."""
+    join = lambda k: " ".join(f"JOIN {e[k]} x{i} ON x{i}.id = t.{e[2]}" for i, e in enumerate(ends))
+    return tuple(f"SELECT count(*) FROM {table} t {join(k)}" for k in (0, 1))
+
+
+@query(f"""WITH {OLD} {_new('topics', 'SELECT count(*) FROM v_topics', 'SELECT count(*) FROM v_topics WHERE id < 3')}
+UNION ALL {_new('instances', 'SELECT count(*) FROM v_instances', 'SELECT count(*) FROM oi')} UNION ALL {_new('accounts', 'SELECT count(*) FROM al', 'SELECT count(*) FROM oa')} UNION ALL {_new('statuses', 'SELECT count(*) FROM sl', 'SELECT count(*) FROM os')}
+UNION ALL {_new('status_hashtags', *_linked('v_status_hashtags', ('sl', 'os', 'status_id')))} UNION ALL {_new('mentions', *_linked('v_mentions', ('sl', 'os', 'status_id')))}
+UNION ALL {_new('topic_hashtags', *_linked('v_topic_hashtags', ('v_topics', '(SELECT * FROM v_topics WHERE id < 3)', 'topic_id'), ('v_instances', 'oi', 'instance_id')))}
+UNION ALL {_new('reblogs', *_linked('v_reblogs', ('sl', 'os', 'status_id'), ('al', 'oa', 'booster_account_id')))} UNION ALL {_new('follows', *_linked('v_follows', ('al', 'oa', 'follower_account_id'), ('al', 'oa', 'followed_account_id')))}""")
 def m4_bundle_merge(t):
-    home = t.instances.select(F.col("id").alias("instance_id"), "domain")
-    acc = t.accounts.join(home, "instance_id").select("domain", "mastodon_id", "acct")
-    st = t.statuses.select(F.col("id").cast("string").alias("mastodon_id"), F.col("account_id").cast("string").alias("author_mastodon_id"), "account_id").join(t.accounts.join(home, "instance_id").select(F.col("id").alias("account_id"), F.col("domain").alias("author_domain")), "account_id").drop("account_id")
-    old = {
-        "instances": t.instances.where("id % 5 <> 0").select("domain", "id"),
-        "accounts": acc.limit(0).select("domain", "mastodon_id", "acct", F.lit(0).cast("bigint").alias("instance_id"), F.lit(0).cast("bigint").alias("id")),
-        "statuses": st.limit(0).select("mastodon_id", "author_mastodon_id", "author_domain", F.lit(0).cast("bigint").alias("account_id"), F.lit(0).cast("bigint").alias("id"), F.lit("").alias("domain")),
-    }
-    return merge.merge_bundle(old, {"instances": t.instances.select("domain"), "accounts": acc, "statuses": st})[1]
+    """A whole bundle merged into tables that hold a part of it."""
+    return merge.merge_bundle(_old_tables(t), merge.export_bundle(tables_of(t)))[1]
+
+
+def _old_tables(t) -> dict:
+    new = tables_of(t)
+    among = lambda df, ids, c: df.join(ids.select(F.col("id").alias(c)), c, "left_semi")
+    old = {"topics": new["topics"].where("id < 3"), "instances": new["instances"].where("id % 5 <> 0")}
+    old["accounts"] = among(new["accounts"], old["instances"], "instance_id").where("id % 2 = 0")
+    old["statuses"] = among(among(new["statuses"], old["instances"], "instance_id"), old["accounts"], "account_id")
+    old["status_hashtags"], old["mentions"] = (among(new[n], old["statuses"], "status_id") for n in ("status_hashtags", "mentions"))
+    old["topic_hashtags"] = among(among(new["topic_hashtags"], old["topics"], "topic_id"), old["instances"], "instance_id")
+    old["reblogs"] = among(among(new["reblogs"], old["statuses"], "status_id"), old["accounts"], "booster_account_id")
+    old["follows"] = among(among(new["follows"], old["accounts"], "follower_account_id"), old["accounts"], "followed_account_id")
+    return old
+
+
+@query("SELECT s.mastodon_id, i.domain, a.mastodon_id AS author, p.mastodon_id AS parent FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id JOIN v_accounts a ON a.id = s.account_id LEFT JOIN (SELECT s.* FROM v_statuses s JOIN v_accounts a ON a.id = s.account_id) p ON p.id = s.in_reply_to_id")
+def m4_merged_statuses(t):
+    """The statuses after the merge, with author and parent by their local ids."""
+    out = merge.merge_bundle(_old_tables(t), merge.export_bundle(tables_of(t)))[0]
+    st = cut(out["statuses"])
+    home = out["instances"].select(F.col("id").alias("instance_id"), "domain")
+    rows = st.join(home, "instance_id").join(out["accounts"].select(F.col("id").alias("account_id"), F.col("mastodon_id").alias("author")), "account_id")
+    return rows.join(st.select(F.col("id").alias("in_reply_to_id"), F.col("mastodon_id").alias("parent")), "in_reply_to_id", "left").select("mastodon_id", "domain", "author", "parent")
 
 
 @query("SELECT topic_id, instance_id, hashtag, CASE WHEN topic_id < 2 THEN usage_count + 1 ELSE usage_count END AS usage_count FROM v_topic_hashtags WHERE topic_id >= 2 OR hashtag LIKE '%I%'")
@@ -227,7 +369,7 @@ def p3_checkworthiness_run(t):
 
 def sample_judge(claims: pd.DataFrame) -> pd.DataFrame:
     """A stand-in for a user's model: more evidence, more truth."""
-    n = claims["evidence"].str.count("\n") + (claims["evidence"] != T.NO_SOURCE)
+    n = claims["evidence"].str.count("\n") + (claims["evidence"] != NO_SOURCE)
     return pd.DataFrame({"verdict": n.map(lambda k: {0: "non verificabile", 1: "Falsi", 2: "misto"}.get(k, "VERA")), "confidence": n / 4.0, "reasoning": "by count"})
 
 
@@ -247,9 +389,8 @@ def _drops(t, df, name: str, parts: int = 4) -> str:
 def x1_streamed_collection(t):
     path = _drops(t, t.events.select("event_id", "user_id", F.col("event_type").alias("source"), F.col("props").alias("raw")), "drops")
     target, mark = scratch(t.spark, "collected"), scratch(t.spark, "mark")
-    q = jobs.collect(jobs.drops(t.spark, path, "event_id long, user_id long, source string, raw string", 2), target, mark, ["user_id"], ["source"], ["raw"], ["event_id"])
-    q.awaitTermination()
-    return jobs.collected(t.spark, target, q.lastProgress["batchId"])
+    jobs.collect(jobs.drops(t.spark, path, "event_id long, user_id long, source string, raw string", 2), target, mark, ["user_id"], ["source"], ["raw"], ["event_id"]).awaitTermination()
+    return jobs.collected(t.spark, target, ["user_id"], ["source"], ["raw"])
 
 
 @query(f"SELECT id, {MOCK} AS score FROM v_post_texts")
@@ -257,7 +398,7 @@ def x2_streamed_scores(t):
     path = _drops(t, t.post_texts, "texts")
     target, mark = scratch(t.spark, "scored"), scratch(t.spark, "mark")
     jobs.score(jobs.drops(t.spark, path, "id long, lang string, text string", 2), scoring.mock_scorer, target, mark).awaitTermination()
-    return t.spark.read.parquet(target)
+    return t.spark.read.parquet(target).select("id", "score")
 
 
 @query("SELECT coalesce(nullif(trim(lang), ''), '??') AS lang, cast(CASE WHEN NOT isnan(probability) THEN least(floor(probability * 5), 4) ELSE -1 END AS int) AS bin, count(*) AS n FROM v_post_texts JOIN v_scores_fast USING (id) GROUP BY 1, 2")
@@ -271,4 +412,6 @@ def x3_streamed_counts(t):
 @query("""SELECT id, language, CASE WHEN id % 2 = 0 THEN '{"reblogs_count": ' || cast(id % 9 AS string) || '}' ELSE raw END AS raw FROM v_posts""")
 def x4_enriched_posts(t):
     fresh = t.posts.where("id % 2 = 0").select("id", F.concat(F.lit('{"reblogs_count": '), (F.col("id") % 9).cast("string"), F.lit("}")).alias("raw"), F.lit("2030-01-01").cast("timestamp").alias("seen_at"))
-    return jobs.enrich(t.posts, fresh).select("id", "language", "raw")
+    path, target, mark = _drops(t, fresh, "counters"), scratch(t.spark, "counted"), scratch(t.spark, "mark")
+    stream = jobs.drops(t.spark, path, "id long, raw string, seen_at timestamp", 2)
+    return jobs.re_enrich(t.posts, stream, target, mark).select("id", "language", "raw")

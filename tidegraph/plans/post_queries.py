@@ -161,23 +161,23 @@ def f20_bots_only(t):
     return compare.vote_filter(compare.joined(detectors(t)), [], "bots_only", bots).select("id")
 
 
-@query(f"SELECT p.id, a.acct, a.bot, i.domain, md5({CLEAN}) AS digest FROM v_posts p JOIN v_accounts a ON a.id = p.account_id JOIN v_instances i ON i.id = a.instance_id")
+@query(f"SELECT p.id, a.acct, a.bot, i.domain, md5({CLEAN}) AS digest FROM v_posts p JOIN v_accounts a ON a.id = p.account_id JOIN v_instances i ON i.id = p.instance_id WHERE deleted_at IS NULL")
 def j1_posts_with_authors(t):
     return posts.with_authors(t.posts, t.accounts, t.instances).select("id", "acct", "bot", "domain", F.md5("content").alias("digest"))
 
 
-@query(f"SELECT id, account_id FROM v_posts WHERE id IN (SELECT id FROM v_scores_fast WHERE {P} >= 0.9)")
+@query(f"SELECT id, account_id FROM v_posts WHERE deleted_at IS NULL AND id IN (SELECT id FROM v_scores_fast WHERE {P} >= 0.9)")
 def j2_by_ids(t):
-    return posts.by_ids(t.posts, posts.at_least(t.scores_fast, 0.9)).select("id", "account_id")
+    return posts.by_ids(posts.live(t.posts), posts.at_least(t.scores_fast, 0.9)).select("id", "account_id")
 
 
-@query(f"WITH {DET} SELECT p.id, fast, bino, desk, ada FROM v_posts p LEFT JOIN j USING (id)")
+@query(f"WITH {DET} SELECT p.id, fast, bino, desk, ada FROM v_posts p LEFT JOIN j USING (id) WHERE deleted_at IS NULL")
 def j3_posts_with_detectors(t):
     scored = {n: d.withColumn("probability", S.present(F.col("probability"))) for n, d in detectors(t).items()}
-    return posts.with_detectors(t.posts.select("id"), scored)
+    return posts.with_detectors(posts.live(t.posts).select("id"), scored)
 
 
-@query(f"WITH {DET} SELECT p.id, i.domain, fast, desk, {V} AS verdict FROM v_posts p JOIN v_accounts a ON a.id = p.account_id JOIN v_instances i ON i.id = a.instance_id LEFT JOIN j ON j.id = p.id LEFT JOIN v_fact_checks c ON c.id = p.id")
+@query(f"WITH {DET} SELECT p.id, i.domain, fast, desk, {V} AS verdict FROM v_posts p JOIN v_accounts a ON a.id = p.account_id JOIN v_instances i ON i.id = p.instance_id LEFT JOIN j ON j.id = p.id LEFT JOIN v_fact_checks c ON c.id = p.id WHERE deleted_at IS NULL")
 def j4_post_details(t):
     scored = {n: d.withColumn("probability", S.present(F.col("probability"))) for n, d in detectors(t).items() if n in ("fast", "desk")}
     rows = posts.with_detectors(posts.with_authors(t.posts, t.accounts, t.instances).select("id", "domain"), scored)
@@ -217,13 +217,22 @@ def j10_follow_nodes(t):
     return accounts.topology(t.follows, t.accounts, "any_bot")[1]
 
 
-@query("""SELECT a.id, '@' || acct AS label, CASE WHEN contains(acct, '@') THEN split_part(acct, '@', -1) ELSE 'fediverse' END AS domain, bot,
-CASE WHEN a.id % 2 = 0 THEN followers ELSE coalesce(i.n, 0) END AS followers, coalesce(o.n, 0) AS following, coalesce(p.n, 0) AS statuses FROM v_accounts a
-LEFT JOIN (SELECT followed_account_id AS id, count(*) AS n FROM v_follows GROUP BY 1) i USING (id) LEFT JOIN (SELECT follower_account_id AS id, count(*) AS n FROM v_follows GROUP BY 1) o USING (id)
-LEFT JOIN (SELECT account_id AS id, count(*) AS n FROM v_statuses GROUP BY 1) p USING (id)""")
+@query("""SELECT a.id, '@' || acct AS label, username, CASE WHEN a.id % 4 = 1 THEN 'Name ' || username ELSE username END AS display_name, bot, s.domain, CASE WHEN a.id % 2 = 0 THEN 'note ' || a.id ELSE '' END AS note,
+CASE WHEN a.id % 5 = 0 THEN 'http://a.example/' || a.id END AS avatar, cast(NULL AS varchar) AS header, CASE WHEN a.id % 6 = 0 THEN 'http://u.example/' || a.id ELSE 'https://' || s.domain || '/@' || username END AS url,
+CASE WHEN a.id % 2 = 0 THEN followers ELSE coalesce(i.n, 0) END AS followers, CASE WHEN a.id % 3 = 0 THEN a.id % 90 ELSE coalesce(o.n, 0) END AS following, CASE WHEN a.id % 7 = 0 THEN 0 ELSE coalesce(p.n, 0) END AS statuses,
+CASE WHEN a.id % 2 = 0 THEN '2020-01-01' END AS created_at, cast(NULL AS varchar) AS last_status_at, CASE WHEN a.id % 4 = 3 THEN '[{"name":"k"}]' ELSE '[]' END AS fields FROM v_accounts a JOIN v_instances s ON s.id = a.instance_id
+LEFT JOIN (SELECT followed_account_id AS id, count(*) AS n FROM v_follows GROUP BY 1) i ON i.id = a.id LEFT JOIN (SELECT follower_account_id AS id, count(*) AS n FROM v_follows GROUP BY 1) o ON o.id = a.id
+LEFT JOIN (SELECT account_id AS id, count(*) AS n FROM v_statuses GROUP BY 1) p ON p.id = a.id""")
 def j14_account_details(t):
-    raw = F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.col("followers").alias("followers_count")))).otherwise(F.lit("{}"))
-    return accounts.detail(t.accounts.withColumn("raw", raw), t.follows, t.statuses)
+    i = F.col("id")
+    text = lambda m, r, value: F.when(i % m == r, value)
+    fields = {
+        "followers_count": text(2, 0, F.col("followers")), "following_count": text(3, 0, i % 90), "statuses_count": text(7, 0, F.lit(0)), "note": text(2, 0, F.concat(F.lit("note "), i)), "created_at": text(2, 0, F.lit("2020-01-01")),
+        "display_name": F.when(i % 4 == 1, F.concat(F.lit("Name "), "username")).when(i % 4 == 2, F.lit("")), "avatar_static": text(5, 0, F.concat(F.lit("http://a.example/"), i)), "uri": text(6, 0, F.concat(F.lit("http://u.example/"), i)),
+        "fields": text(4, 3, F.array(F.struct(F.lit("k").alias("name")))),
+    }
+    raw = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    return accounts.detail(t.accounts.withColumn("raw", raw), t.follows, t.statuses, t.instances)
 
 
 @query("SELECT DISTINCT c.id AS centre, follower_account_id AS src, followed_account_id AS dst FROM v_follows f JOIN (SELECT id FROM v_accounts WHERE bot) c ON c.id = f.follower_account_id OR c.id = f.followed_account_id")
@@ -412,7 +421,7 @@ def l5_carried_cursor(t):
 
 @query("SELECT hashtag, topic_id, instance_id, usage_count FROM v_topic_hashtags QUALIFY row_number() OVER (PARTITION BY hashtag ORDER BY topic_id, usage_count DESC, instance_id) = 1")
 def l6_first_by_key(t):
-    return posts.first_of_key(t.topic_hashtags, ["hashtag"], [F.asc("topic_id"), F.desc("usage_count"), F.asc("instance_id")]).select("hashtag", "topic_id", "instance_id", "usage_count")
+    return posts.first_of_key(t.topic_hashtags, ["hashtag"], [F.col("topic_id"), -F.col("usage_count"), F.col("instance_id")]).select("hashtag", "topic_id", "instance_id", "usage_count")
 
 
 @query(f"WITH {DET} SELECT DISTINCT id FROM (SELECT id FROM f UNION SELECT id FROM a UNION SELECT id FROM b)")

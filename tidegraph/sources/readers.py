@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from tidegraph.functions import text as T
 from tidegraph.functions.scores import present
+from tidegraph.operators.merge import latest
 from tidegraph.operators.posts import first_of_key
 
 SCORES = "id long, probability double, criterion double, ntokens int, model string"
@@ -37,8 +39,8 @@ def json_lines(spark: SparkSession, path: str, schema: str, key: str = "id") ->
 def scores(spark: SparkSession, path: str, schema: str = SCORES, seq: str = "_seq") -> DataFrame:
     """The last score of each id."""
     rows = json_lines(spark, path, schema)
-    others = [F.col(c).desc() for c in rows.columns if c not in ("id", seq)]
-    return first_of_key(rows, ["id"], [F.col(seq).desc(), *others]).drop("_seq")
+    others = [c for c in rows.columns if c not in ("id", seq)]
+    return latest(rows, ["id"], [seq, *others]).drop("_seq")
 
 
 def fact_checks(spark: SparkSession, path: str) -> DataFrame:
@@ -78,14 +80,41 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
 
 
+#: Columns of the tables of a bundle; references are natural keys.
+_REF = "struct<instance_domain: string, mastodon_id: string>"
+BUNDLE = {
+    "topics": "name string", "instances": "domain string, discovered_via_topic string, active_users int",
+    "accounts": "instance_domain string, mastodon_id string, acct string, username string, bot boolean",
+    "statuses": f"instance_domain string, mastodon_id string, account_ref {_REF}, language string, created_at timestamp, reblog_of_ref {_REF}, in_reply_to_ref {_REF}, source string, deleted_at timestamp",
+    "status_hashtags": f"status_ref {_REF}, hashtag string", "mentions": f"status_ref {_REF}, mentioned_acct string",
+    "topic_hashtags": "topic_name string, instance_domain string, hashtag string, usage_count int",
+    "reblogs": f"status_ref {_REF}, booster_account_ref {_REF}", "follows": f"follower_ref {_REF}, followed_ref {_REF}",
+}
+
+
+def bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The nine tables of a bundle; blank and malformed lines are left out."""
+    out = {}
+    for name, schema in BUNDLE.items():
+        rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(f"{path}/{name}")
+        out[name] = rows.where("_corrupt IS NULL").drop("_corrupt")
+    return out
+
+
 def blacklist(lines: DataFrame) -> DataFrame:
     """Domains of a block list (value): what goes before a '#'."""
     return lines.select(F.lower(F.trim(F.split("value", "#")[0])).alias("domain")).where("domain <> ''").distinct()
 
 
 def report(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object; no row where the folder is empty."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """One JSON object; no row where there is none."""
+    found = spark.read.schema(schema).option("multiLine", True)
+    try:
+        return found.json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def cascade(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.functions.text import evidence_urls
+from tidegraph.operators.iterate import cut
+from tidegraph.functions.scores import percent_probability
+from tidegraph.operators.compare import joined
 
 
 def corpus(posts: DataFrame, path: str) -> None:
@@ -42,9 +44,15 @@ def csv_to_json(rows: DataFrame, path: str) -> None:
     typed_rows(rows).write.json(path)
 
 
-def merged_scores(compared: DataFrame, path: str) -> None:
-    """The ids of all detectors with their probabilities and votes."""
-    compared.write.json(path)
+def corrected_scores(rows: DataFrame, percent: str = "ai_probability_pct") -> DataFrame:
+    """Detector rows with a ``probability`` from 0 to 1 beside their percentage."""
+    return rows.withColumn("probability", percent_probability(F.col(percent)))
+
+
+def merged_scores(detectors: dict[str, DataFrame], path: str) -> None:
+    """Every id of any detector with the probability of each, as JSON lines."""
+    rows = joined(detectors)
+    rows.select("id", *[F.col(n).alias(f"probability_{n}") for n in detectors]).write.json(path)
 
 
 def check_report(checks: DataFrame) -> DataFrame:
@@ -53,13 +61,28 @@ def check_report(checks: DataFrame) -> DataFrame:
     return checks.withColumn("evidence_urls", F.concat_ws("; ", urls)).drop("evidence")
 
 
-def urls_back(report: DataFrame) -> DataFrame:
-    """T12 on a report: its addresses as an array."""
-    return report.withColumn("urls", evidence_urls(F.col("evidence_urls")))
-
-
-def write_report(row: DataFrame, path: str, title: str) -> str:
-    """A one-row report as JSON in ``path``, and as Markdown text."""
-    row.write.json(path)
-    got = row.limit(1).collect()[0].asDict()
-    return f"# {title}\n\n| figure | value |\n| --- | --- |\n" + "\n".join(f"| {k} | {v} |" for k, v in got.items())
+def _table_line(columns: list[str]):
+    """A row of a Markdown table."""
+    return lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(x[c].cast("string"), F.lit("-")) for c in columns]), F.lit(" |"))
+
+
+def write_report(totals: DataFrame, sections: dict[str, DataFrame], path: str, title: str) -> DataFrame:
+    """A report of one row of totals and small tables (bins, languages, extremes).
+
+    Written as one JSON object in ``path``/json, each table an array of objects, and as Markdown
+    lines in ``path``/md; the lines (place, value) come back.
+    """
+    one = totals
+    for name, rows in sections.items():
+        one = one.crossJoin(rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name)))
+    one = cut(one)
+    one.coalesce(1).write.json(f"{path}/json")
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    lines = [F.lit(f"# {title}"), F.lit(""), F.lit("| figure | value |"), F.lit("| --- | --- |"), *[F.concat(F.lit(f"| {c} | "), cell(c), F.lit(" |")) for c in totals.columns]]
+    whole = F.array(*lines)
+    for name, rows in sections.items():
+        head = [F.lit(""), F.lit(f"## {name}"), F.lit(""), F.lit(f"| {' | '.join(rows.columns)} |"), F.lit("|" + " --- |" * len(rows.columns))]
+        whole = F.concat(whole, F.array(*head), F.transform(name, _table_line(rows.columns)))
+    out = one.select(F.posexplode(whole).alias("place", "value"))
+    out.coalesce(1).sortWithinPartitions("place").select("value").write.text(f"{path}/md")
+    return out

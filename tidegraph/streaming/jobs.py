@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidegraph.functions import scores as S
 from tidegraph.operators.merge import live_upsert
+from tidegraph.operators.scoring import score_texts
 
 
 def drops(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -22,43 +23,35 @@ def drops(spark: SparkSession, path: str, schema: str, files_per_batch: int | No
 
 
 def collect(stream: DataFrame, target: str, checkpoint: str, key: list[str], first: list[str], last: list[str], order: list[str]) -> StreamingQuery:
-    """Each batch is merged into a table by natural key (first-seen and last-seen columns).
+    """Rows by natural key, first-seen and last-seen columns, as a log of what each batch says.
 
-    The table lies in a folder of numbered versions; a batch writes version n + 1 from the newest
-    below it, so a batch that is run again gives the same version.
+    A batch is reduced to one row for each key and written to a folder of its own, so its cost
+    follows its size and a batch that is run again replaces its folder; ``collected`` merges.
     """
 
-    def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*key, *first, *last, *[c for c in order if c not in {*key, *first, *last}])
-        stamped = rows.select("*", *[F.col(c).alias(f"__first_{c}") for c in order], *[F.col(c).alias(f"__last_{c}") for c in order])
-        if n:
-            stamped = stamped.unionByName(spark.read.parquet(f"{target}/v={n - 1}"), allowMissingColumns=True)
-        by_first, by_last = F.struct(*[f"__first_{c}" for c in order]), F.struct(*[f"__last_{c}" for c in order])
-        out = stamped.groupBy(*key).agg(
-            *[F.min_by(c, by_first).alias(c) for c in first], *[F.max_by(c, by_last).alias(c) for c in last],
-            *[F.min(f"__first_{c}").alias(f"__first_{c}") for c in order], *[F.max(f"__last_{c}").alias(f"__last_{c}") for c in order],
-        )
-        out.write.mode("overwrite").parquet(f"{target}/v={n}")
+    def append(batch: DataFrame, n: int) -> None:
+        by = F.struct(*order)
+        out = batch.groupBy(*key).agg(
+            *[F.min_by(c, by).alias(c) for c in first], *[F.max_by(c, by).alias(c) for c in last], F.min(by).alias("__first"), F.max(by).alias("__last")
+        )
+        out.write.mode("overwrite").parquet(f"{target}/batch={n}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def collected(spark: SparkSession, target: str, version: int) -> DataFrame:
-    """The table of ``collect`` after a batch."""
-    rows = spark.read.parquet(f"{target}/v={version}")
-    return rows.drop(*[c for c in rows.columns if c.startswith("__")])
+def collected(spark: SparkSession, target: str, key: list[str], first: list[str], last: list[str]) -> DataFrame:
+    """The table that the batches of ``collect`` add up to."""
+    rows = spark.read.parquet(target)
+    return rows.groupBy(*key).agg(*[F.min_by(c, "__first").alias(c) for c in first], *[F.max_by(c, "__last").alias(c) for c in last])
 
 
-def score(stream: DataFrame, scorer: Callable[[pd.Series], pd.Series], target: str, checkpoint: str) -> StreamingQuery:
-    """Each text is scored once and appended; the checkpoint makes it exactly once."""
+def score(stream: DataFrame, scorer: Callable[[pd.Series], pd.Series], target: str, checkpoint: str, lang: str | None = None) -> StreamingQuery:
+    """Each text is scored once, texts of like length together; the checkpoint makes a batch's folder exactly once."""
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(scorer(texts.fillna(""))), dtype=float)
+    def append(batch: DataFrame, n: int) -> None:
+        score_texts(batch, scorer, lang=lang).write.mode("overwrite").parquet(f"{target}/batch={n}")
 
-    out = stream.select("id", run("text").alias("score"))
-    return out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_counts(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
@@ -69,6 +62,12 @@ def live_counts(stream: DataFrame, name: str, checkpoint: str) -> StreamingQuery
     return out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def re_enrich(posts: DataFrame, stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """A scheduled run: the counters (id, raw, seen_at) that arrived since the last run are collected, then merged into the posts (id, raw, seen_at, ...)."""
+    collect(stream, target, checkpoint, ["id"], [], ["raw", "seen_at"], ["seen_at"]).awaitTermination()
+    return enrich(posts, collected(posts.sparkSession, target, ["id"], [], ["raw", "seen_at"]))
+
+
 def enrich(posts: DataFrame, fresh: DataFrame) -> DataFrame:
     """Posts with the newest counters (id, raw, seen_at); what else they have stays as first seen."""
     both = posts.withColumn("seen_at", F.lit(None).cast("timestamp")).unionByName(fresh.select("id", "raw", "seen_at"), allowMissingColumns=True)
