@@ -3,6 +3,19 @@
 Every stage takes the documents that its predecessor kept and returns documents with the
 same columns, so each can be run again from the table before it.  Order: quality rules,
 line dedup, near-duplicate removal, benchmark decontamination, mixing.
+
+Defined cases, for every stage: further columns pass through whatever their names; an empty table
+gives an empty table; very long texts are read whole; rows without an id are judged by their text.
+
+* quality: null, blank and short texts go; repeated rows are judged alike; of contradicting labels
+  of one id the smallest counts.
+* lines: null and empty texts stay; rows without an id neither own nor lose lines; repeated rows are
+  cut alike; a document that loses all its words goes; ``n_chars`` follows the text.
+* near_duplicates: the smallest id of a class stays, one row of it (that of the smallest text); texts
+  without words are copies of each other; rows without an id all stay.
+* decontamination: every row whose own text holds an item goes; items of fewer than five words match nothing.
+* mixture: null source and language count as ''; repeated rows are drawn alike, rows without an id by
+  their text; no ties can occur.
 """
 
 from __future__ import annotations
