@@ -53,10 +53,36 @@ def test_windows_by_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(docs, known).collect()}
     assert got == pytest.approx(want) and want
     kept = decontaminate.clean(docs, known)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows if not any(k[0] == i for k in want)} | {100, 101, 102, None}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows if not any(k[0] == i for k in want)} | {100, 101, 102}  # the row without an id holds an item too
+    again = spark.createDataFrame([(5, "nothing here at all but words"), (5, "so " * 3000 + items[0]), (None, items[1]), (None, "free of it all here")], DOCS)
+    assert {(r.doc_id, r.item_id, r.similarity) for r in decontaminate.matches(again, known).collect()} == {(5, 0, 1.0)}
+    assert sorted(r.text for r in decontaminate.clean(again, known).collect()) == ["free of it all here", "nothing here at all but words"]
     assert decontaminate.matches(docs.limit(0), known).count() == decontaminate.matches(docs, known.limit(0)).count() == 0
 
 
+def test_fingerprints_within_the_radius_share_a_block(spark):
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        lo, hi = rng.getrandbits(64), rng.getrandbits(64)
+        flip = sum(1 << b for b in rng.sample(range(128), rng.randint(0, decontaminate.RADIUS)))
+        rows.append((i, *[x - (1 << 64) if x >> 63 else x for x in (lo, hi, lo ^ flip & (1 << 64) - 1, hi ^ flip >> 64)]))
+    df = spark.createDataFrame(rows, "i long, lo long, hi long, lo2 long, hi2 long")
+    near = decontaminate.with_near_blocks(df.select("i", "lo", "hi")).select("i", "b", "v")
+    own = decontaminate.with_blocks(df.select("i", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))).select("i", "b", "v")
+    assert near.join(own, ["i", "b", "v"]).select("i").distinct().count() == 300
+
+
+def test_simhash_by_brute_force(spark):
+    rng = random.Random(10)
+    rows = [(g, rng.getrandbits(62)) for g in range(5) for _ in range(rng.randint(1, 9))]
+    df = spark.createDataFrame(rows, "g int, h long")
+    mixed = [(r.g, r.lo % 2**64, r.hi % 2**64) for r in df.select("g", F.xxhash64("h", F.lit("lo")).alias("lo"), F.xxhash64("h", F.lit("hi")).alias("hi")).collect()]
+    for r in decontaminate.simhash(df, ["g"]).collect():
+        own = [m for m in mixed if m[0] == r.g]
+        want = [sum((2 * sum(m[k] >> b & 1 for m in own) > len(own)) << b for b in range(64)) for k in (1, 2)]
+        assert [r.lo % 2**64, r.hi % 2**64] == want
+
+
 # 2
 
 
@@ -77,6 +103,76 @@ def test_word_counts_and_scores(spark):
         assert r.base_score == pytest.approx(sum(np.log10((count[x] + 1) / (n + v + 1)) for x in w))
 
 
+def test_scores_do_not_hang_on_blocks_and_ids_stay_whole(spark):
+    big = 2**60
+    rows = [(big + i, t) for i, t in enumerate(sample(40, 30, 70))] + [(None, "a b"), (big + 2, "a b"), (big + 900, "lang " * 30_000)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("held_out", F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False))).withColumn("score", F.lit(1)).withColumn("n", F.lit(2))
+    path = attention_lm.tokenizer_path()
+    model = attention_lm.fit(docs.where("NOT held_out"), path, steps=20)
+    one, many = (attention_lm.scored(docs, model, path, chars).orderBy("doc_id", "n_tokens").collect() for chars in (10**9, 700))
+    assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in one] == [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in many]
+    assert {r.doc_id for r in one} == {i for i, _ in rows}
+    assert [r.base_score for r in one] == pytest.approx([r.base_score for r in many])
+    assert [r.score for r in one] == pytest.approx([r.score for r in many], rel=0.05)  # weights are refined by block
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r.doc_id for r in attention_lm.scored(named, model, path).collect()} == {None if i is None else str(i) for i, _ in rows}
+    none = docs.limit(0)
+    empty = attention_lm.fit(none, path)
+    assert attention_lm.scored(none, empty, path).count() == 0
+    held = attention_lm.scored(docs.withColumn("held_out", F.lit(True)), empty, path).collect()
+    assert len(held) == len(rows) and all(r.train_tokens == r.n_known == 0 and r.score < 0 for r in held)
+
+
+def test_pair_counts_grow_with_the_corpus(spark):
+    path = attention_lm.tokenizer_path()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(sample(60, 40, 71))], DOCS).withColumn("held_out", F.lit(False))
+    model = attention_lm.fit(docs.limit(5), path, steps=5)
+    words = attention_lm.Words(path)
+    texts = [[k for w in attention_lm.split(t) for k in words.ids(w)] + [words.end] for (t,) in docs.select("text").collect()]
+    tokens = np.concatenate([np.array(x) for x in texts])
+    starts = np.cumsum([0] + [len(x) for x in texts])[:-1]
+    want = collections.Counter()
+    for x in texts:
+        want.update(zip([attention_lm.START, *model.before[np.array(x[:-1], int)]], x, strict=True))
+    pair, n = attention_lm.pairs_of(tokens, starts, model.before)
+    assert {(int(p // len(model.before)), int(p % len(model.before))): int(k) for p, k in zip(pair, n, strict=True)} == want
+    blocks = attention_lm.read_blocks(docs, model, path, 1000).where("kind = 3").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    assert {r.pair: r.n for r in blocks} == dict(zip(pair.tolist(), n.tolist(), strict=True))
+    grown = attention_lm.with_shares(model, pair, n)
+    assert (grown.column >= 0).sum() == len(set(tokens.tolist())) > (model.column >= 0).sum()
+
+
+def token_scores(m, tokens):
+    """Log probability of each token of one text, by a window of its own tokens, one at a time."""
+    out = []
+    for i in range(len(tokens)):
+        first = i - i % attention_lm.STRIDE
+        seq = [attention_lm.ROWS + attention_lm.CLASSES + (p < -1) if p < 0 else int(m.row[tokens[p]]) for p in range(first - attention_lm.CONTEXT - 1, first + attention_lm.STRIDE - 1)]
+        q = i - first + attention_lm.CONTEXT
+        x = m.w["embed"][seq] + m.w["place"]
+        qkv = x @ m.w["qkv"]
+        d = attention_lm.WIDTH
+        e = np.exp(np.clip([qkv[q, :d] @ qkv[j, d : 2 * d] for j in range(q + 1)], -30, 30))  # only what goes before
+        h = np.concatenate([x[q], (e / e.sum()) @ qkv[: q + 1, 2 * d :]])
+        logits = h @ m.w["out"] + m.w["bigram"][m.of_class[tokens[i - 1]] if i else attention_lm.CLASSES]
+        p_class = logits[m.of_class[tokens[i]]] - np.log(np.exp(logits).sum())
+        at = m.before[tokens[i - 1]] if i else attention_lm.START
+        c = m.column[tokens[i]]
+        out.append(p_class + (m.after[at, c] if c >= 0 else m.share[tokens[i]] + m.back[at, m.of_class[tokens[i]]]))
+    return out
+
+
+def test_scores_by_brute_force():
+    rng = np.random.default_rng(3)
+    texts = [list(rng.integers(0, 200, int(n))) for n in (1, 5, 24, 25, 70, 131)]
+    m = attention_lm.train(texts * 3, 230, steps=15)
+    for x in [*texts, [229, 228, 0]]:
+        tokens = np.array(x)
+        start, size = np.array([0]), np.array([len(x)])
+        got = attention_lm.class_scores(tokens, start, size, m) + attention_lm.share_scores(tokens, start, m)
+        assert got[0] == pytest.approx(sum(token_scores(m, tokens)), rel=1e-4)
+
+
 def test_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(0)
     texts = [list(rng.integers(0, 300, 90)) for _ in range(30)]
@@ -86,9 +182,10 @@ def test_model_is_a_distribution_and_causal():
     first = attention_lm.class_scores(np.array([5]), start, np.array([1]), m) + attention_lm.share_scores(np.array([5]), start, m)
     assert sum(p) == pytest.approx(np.exp(first), rel=1e-3)
     long = rng.integers(0, 300, 200)
-    total = lambda n: float((attention_lm.class_scores(long[:n], start, np.array([n]), m) + attention_lm.share_scores(long[:n], start, m))[0])
-    steps = [total(n) - total(n - 1) for n in (25, 60, 199)]
-    assert all(s < 0 for s in steps)
+    total = lambda x: float((attention_lm.class_scores(x, start, np.array([len(x)]), m) + attention_lm.share_scores(x, start, m))[0])
+    changed = long.copy()
+    changed[60:] = rng.integers(0, 300, 140)
+    assert total(long[:60]) == pytest.approx(total(changed[:60])) and all(total(long[:n]) < total(long[: n - 1]) for n in (25, 60, 199))
 
 
 # 3
@@ -109,10 +206,68 @@ def test_article_of_a_page(spark):
     for odd in (None, "", "<p>", "<", "<nav><article><p>text here", "a < b and c > d", "<p>cut <b"):
         html_extract.extract(odd, html_extract.Weights())
     assert html_extract.extract("<nav><a>x</a><article><p>text here", html_extract.Weights()) == "text here"
-    pages = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (1, PAGE), (None, PAGE)], "page_id long, html string").withColumn("text", F.lit("x")).withColumn("kind", F.lit(1))
     w = html_extract.fit(pages)
-    assert [r[0] for r in pages.select(html_extract.with_text(pages, w)).collect()] == [want, ""]
-    assert html_extract.fit(pages.limit(0)).by == {}
+    assert [r[0] for r in pages.select(html_extract.with_text(pages, w)).collect()] == [want, "", want, want]
+    assert html_extract.fit(pages.limit(0)) == html_extract.Weights() and pages.limit(0).select(html_extract.with_text(pages, w)).count() == 0
+
+
+def prose(n, seed):
+    return sample(1, n, seed)[0]
+
+
+def test_pages_without_marks_and_with_misleading_names():
+    w = html_extract.Weights()
+    long, foot = prose(200, 40), "<footer>all rights reserved by the owners of this site</footer>"
+    for name in ("content with-sidebar", "long-form", "has-ads", "post", "x7", "form"):
+        assert html_extract.extract(f'<body><nav><a>Home</a></nav><div class="{name}"><p>{long}</p></div>{foot}</body>', w) == long, name
+    for name in ("comments", "comment-list", "sidebar", "related posts", "cookie-notice", "share-buttons"):
+        page = f'<body><div id="c"><h1>The title</h1><p>{long}</p></div><div class="{name}"><p>{prose(300, 41)}</p></div>{foot}</body>'
+        assert html_extract.extract(page, w) == f"The title\n{long}", name
+    items = [prose(3, 42 + k) for k in range(20)]
+    first, last = prose(40, 70), prose(60, 71)
+    page = f"<body><ul><li><a href=/>Home</a></li><li><a href=/b>News</a></li></ul><h1>Head line</h1><p>{first}<ul>{''.join(f'<li>{x}' for x in items)}</ul><p>{last}</body>"
+    assert html_extract.extract(page, w) == "\n".join(["Head line", first, *items, last])
+    aside = f"<article><p>{first}</p><aside>{prose(1000, 72)}</aside><p>{last} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> so</p></article>"
+    assert html_extract.extract(aside, w) == f"{first}\n{last} x=2 so"
+    comments = f'<body><div><p>{long}</p></div><section id="comments"><article class="comment"><p>{first}</p></article></section></body>'
+    assert html_extract.extract(comments, w) == long
+    loose = "<body><ul>" + "".join(f"<li><a href=/{k}>m{k}" for k in range(400)) + f"</ul><form><p>Search</form><div class=sidebar><p>{first}</div><p>{long}"
+    assert html_extract.extract(loose, w).endswith(long) and first not in html_extract.extract(loose, w)
+
+
+def test_extraction_is_linear():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        page = "<article>" + "<b>" * n + "<p class=x>word " * n + "</nav>" * n + "<li><a>y" * n + "</article>"
+        began = time.time()
+        assert html_extract.extract(page, html_extract.Weights()).count("word") == n
+        took.append(time.time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_region_is_the_maximum_by_brute_force():
+    rng = random.Random(50)
+    for _ in range(200):
+        seen = []
+        for _ in range(rng.randint(1, 25)):
+            text = rng.choice([None, "a b", "c", "d e f g"])
+            seen.append(html_extract.Token(rng.choice(["p", "/p", "div", "b"]) if text is None else "", text, rng.choice(["p", "li", ""]), rng.random() < 0.3, rng.random() < 0.1, 0, False))
+        w = html_extract.Weights({"word:p": 0.4, "link": 0.2, "<div>": -2.0, "<p>": -0.7})
+        score = lambda t: 0.0 if t.never else w.of(html_extract.kind(t)) * (1 if t.text is None else len(t.text.split()))
+        best = max((sum(map(score, seen[i:j])) for i in range(len(seen)) for j in range(i, len(seen) + 1)))
+        got = html_extract.best_region(seen, w)
+        assert sum(map(score, got)) == pytest.approx(best) and not any(t.never for t in got)
+
+
+def test_weights_are_learned_from_marked_pages(spark):
+    pages = [(k, f'<body><div class="zork"><p>{prose(20, 200 + k)}</p></div><article><div class="ad"><p>{prose(30, 80 + k)}</p></div><p>{prose(40, 120 + k)}</p></article></body>') for k in range(60)]
+    w = html_extract.fit(spark.createDataFrame(pages, "page_id long, html string"))
+    assert w.names["zork"] < html_extract.APART < w.names["ad"]  # what the pages show outweighs the prior
+    new = f'<body><div class="zork">{prose(50, 300)}</div><div><p>{prose(60, 301)}</p></div></body>'
+    assert html_extract.extract(new, w) == prose(60, 301)
 
 
 # 4
@@ -152,15 +307,49 @@ def test_classes_by_brute_force(spark):
 
 
 def test_hot_bucket_is_complete_whatever_the_candidates(spark, monkeypatch):
-    # one bucket that all texts share, in an order that says nothing of likeness
+    # one bucket that all texts share
     monkeypatch.setattr(minhash, "band_keys", lambda winners: np.zeros(1, np.int64))
-    monkeypatch.setattr(minhash, "sort_keys", lambda winners: np.array([hash(winners.tobytes()) >> 8], np.int64))
     texts = sample(60, 60, 10)
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more words here") for i, t in enumerate(texts)]
     got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def test_large_group_of_near_copies_loses_no_link(spark, monkeypatch):
+    # many blocks and chunks; 0 to 8 of 200 words changed, so that most links are between copies and not with the first text
+    monkeypatch.setattr(minhash, "FIRST", 20)
+    monkeypatch.setattr(minhash, "LEADERS", 64)
+    monkeypatch.setattr(minhash, "CHUNK", 100)
+    rng, base, rows = random.Random(20), sample(1, 200, 20)[0].split(), []
+    for i in range(700):
+        w = list(base)
+        for k in rng.sample(range(200), rng.randint(0, 8)):
+            w[k] = f"x{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    bag = [frozenset(tuple(t.split()[k : k + 5]) for k in range(196)) for _, t in rows]
+    lost = [(i, j) for i in range(700) for j in range(i) if got[i] != got[j] and len(bag[i] & bag[j]) >= 0.8 * len(bag[i] | bag[j])]
+    assert not lost and 1 < len(set(got.values())) < 600
+
+
+def test_ids_stay_whole_beside_nulls_and_as_text(spark):
+    a, b = sample(2, 30, 21)
+    big = 2**60
+    rows = [(big + 1, a), (big + 2, b), (None, "c d e f g h"), (big + 3, a + " z")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {(r.doc_id, r.class_id) for r in minhash.near_classes(docs).collect()} == {(big + 1, big + 1), (big + 2, big + 2), (None, None), (big + 3, big + 1)}
+    named = docs.withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    assert {r.class_id for r in minhash.near_classes(named).collect()} == {f"n{big + 1}", f"n{big + 2}", None}
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b, c = sample(3, 30, 22)
+    rows = [(5, a), (5, b), (2, b), (9, a), (9, a), (7, c), (8, (c + " ") * 200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {(r.doc_id, r.class_id) for r in minhash.near_classes(docs).collect()} == {(5, 2), (2, 2), (9, 2), (7, 7), (8, 8)}
+    assert sorted(tuple(r) for r in minhash.one_of_each(docs).collect()) == [(2, b), (7, c), (8, (c + " ") * 200)]
+
+
 def test_blocks_find_links_of_components():
     a = np.arange(200, dtype=np.uint64)
     assert minhash.similarity(a, a) == 1.0 and minhash.similarity(a[:100], a[100:]) == 0.0
@@ -176,7 +365,7 @@ def test_raking_meets_marginals(spark):
     docs = spark.createDataFrame([(i, "w " * (1 + i % 7), "en" if i % 3 else "de", f"s{i % 4}") for i in range(400)] + [(None, None, None, None)], "doc_id long, text string, lang string, source string")
     rows = mixing.cells_of(docs)
     cells = rows.groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens"))
-    p = mixing.calibrated(cells, {"lang": {"en": 0.3, "de": 0.7, "zz": 1.0}})
+    p = mixing.calibrated(cells, {"lang": {"en": 0.3, "de": 0.7, "zz": 1.0}}, keep=0.3)  # a third of the tokens is German
     got = cells.join(p, list(mixing.MARGINS)).toPandas()
     w = got["tokens"] * got["probability"]
     assert w[got["lang"] == "de"].sum() / w.sum() == pytest.approx(0.7, abs=1e-6) and got["probability"].max() <= 1
@@ -184,7 +373,20 @@ def test_raking_meets_marginals(spark):
     one = mixing.calibrated(cells, None, 3).toPandas().set_index(list(mixing.MARGINS))["probability"]
     assert (jobs - one).abs().max() < 1e-9
     assert mixing.mixed(docs.withColumn("probability", F.lit(1))).columns == ["doc_id", "text", "lang", "source", "probability"]
-    assert mixing.mixed(docs.limit(0)).count() == 0
+    assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.sampled(docs.limit(0).withColumn("u", F.lit(1))).count() == 0
+    assert mixing.sampled(docs.unionByName(docs)).count() == 802 and mixing.mixed(docs.unionByName(docs)).count() == 2 * mixing.mixed(docs).count()
+
+
+def test_a_tiny_cell_does_not_set_the_volume(spark):
+    rows = [(i, "w " * 50, "en", "hot") for i in range(900)] + [(1000 + i, "w " * 50, "en" if i % 2 else "de", "cool") for i in range(100)] + [(5000, "one", "xx", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cells = mixing.cells_of(docs).groupBy(*mixing.MARGINS).agg(F.sum("n_tokens").alias("tokens"))
+    p = mixing.calibrated(cells)
+    total = cells.join(p, list(mixing.MARGINS)).agg(F.sum(F.col("tokens") * F.col("probability")) / F.sum("tokens")).collect()[0][0]
+    assert total == pytest.approx(0.5, abs=0.01)
+    got = {(r.margin, r.category): (r.observed, r.expected) for r in mixing.attained(cells, p).collect()}
+    assert got["source", "hot"][1] < got["source", "hot"][0] and got["source", "cool"][1] > got["source", "cool"][0]
+    assert {r.doc_id for r in mixing.mixed(docs).collect()} >= {5000}
 
 
 # 6
@@ -203,6 +405,47 @@ def test_repeated_passages_go_from_later_documents(spark):
     assert line_dedup.deduped(docs.limit(0), into="cut").count() == 0
 
 
+def passages(text):
+    """Every run of lines with 50 words or more from each line on, as tuples, with the places."""
+    lines = [" ".join(x.lower().split()) for x in text.split("\n") if x.strip()]
+    for i in range(len(lines)):
+        n = 0
+        for j in range(i, len(lines)):
+            n += len(lines[j].split())
+            if n >= 50:
+                yield tuple(lines[i : j + 1]), range(i, j + 1)
+                break
+
+
+def test_every_repeated_passage_goes_by_brute_force(spark):
+    rng, lines = random.Random(30), sample(25, 20, 31)
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    owner, want = {}, {}
+    for i, t in enumerate(texts):
+        gone = {k for run, places in passages(t) if owner.get(run, i) < i for k in places}
+        want[i] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        for run, _ in passages(t):
+            owner.setdefault(run, i)
+    got = {r.doc_id: r.text for r in line_dedup.deduped(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got == want and sum(want[i] != t for i, t in enumerate(texts)) > 10
+
+
+def test_passage_of_lines_that_an_earlier_document_holds_apart(spark):
+    a, b, *own = sample(6, 30, 32)
+    rows = [("d1", f"{a}\n{own[0]}\n{b}"), ("d2", f"{own[1]}\n{a}\n{b}"), ("d3", f"{a}\n\n{b}\n{own[2]}"), ("d3", f"{own[3]}\n{a}\n{b}"), (None, f"{a}\n{b}")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id or "", r.text) for r in line_dedup.deduped(docs).collect())
+    assert got == sorted([("d1", rows[0][1]), ("d2", rows[1][1]), ("d3", own[2]), ("d3", own[3]), ("", rows[4][1])])
+
+
+def test_very_long_texts_and_clashing_column(spark):
+    a = "\n".join(sample(4000, 10, 33, vocabulary=3000))
+    docs = spark.createDataFrame([(1, a), (2, a + "\nthe end"), (3, "w " * 300_000)], DOCS).withColumn("removed", F.lit(1))
+    out = line_dedup.deduped(docs)
+    assert out.columns == ["doc_id", "text", "removed"]
+    assert {r.doc_id: (len(r.text), r.removed.n_lines) for r in out.collect()} == {1: (len(a), 0), 2: (7, 4000), 3: (600_000, 0)}
+
+
 def test_patience_matches_are_ordered_and_equal():
     rng = random.Random(1)
     for _ in range(200):
@@ -218,7 +461,7 @@ def test_archives_come_back_whole(spark, tmp_path):
     rows = [(1, "http://a.b/x y", "x\r\n\r\nWARC/1.1\r\n"), (2, None, None), (3, "u\n2", ""), (4, "HTTP://www.A.com:80", "é" * 10), (None, "q", "x"), (5, "q", "x"), (6, "q", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
     warc.write_archives(pages, str(tmp_path / "a"), records_per_file=2)
-    got = warc.merge_runs(warc.read_runs(spark, str(tmp_path / "a")), 3).orderBy("range_no", "place").collect()
+    got = warc.merge_runs(warc.read_runs(spark, str(tmp_path / "a"), "bigint"), 3).orderBy("range_no", "place").collect()
     keys = [(r.url_key, r.captured_at, r.page_id is None, r.page_id or 0) for r in got]
     assert keys == sorted(keys) and {(r.page_id, r.url) for r in got} == {r[:2] for r in rows}
     by = {r.page_id: r for r in got}
@@ -227,6 +470,38 @@ def test_archives_come_back_whole(spark, tmp_path):
     assert warc.read_runs(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_records_are_read_from_their_offset_and_ids_stay_whole(spark, tmp_path):
+    big = 2**60
+    rows = [(big + 1, "http://a.b/1", "same"), (big + 2, "http://a.b/1", "same"), (None, "http://c.d", "same"), (big + 3, "http://c.d", "x" * 3_000_000), (big + 3, "http://c.d", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = tmp_path / "c"
+    warc.write_archives(pages.coalesce(1), str(path))
+    got = warc.read_runs(spark, str(path)).collect()
+    assert sorted((r.page_id or 0, r.refers_to or 0) for r in got) == [(0, big + 1), (big + 1, 0), (big + 2, big + 1), (big + 3, 0), (big + 3, 0)]
+    files = {f.name: f.read_bytes() for f in path.glob("part-*")}
+    for r in got:
+        at, fields, block = next(warc.parse(files[r.archive], r.offset))
+        assert at == r.offset and f"sha1:{r.payload_digest}" == fields["WARC-Payload-Digest"] and len(block) >= (r.payload_bytes if r.record_type == "response" else 0)
+        assert (r.record_type == "revisit") == ("WARC-Refers-To-Target-URI" in fields)
+    import gzip
+
+    assert gzip.decompress(next(iter(files.values()))).count(b"WARC/1.1\r\n") == 5  # one stream for any reader
+    named = pages.withColumn("page_id", F.concat(F.lit("p"), F.col("page_id")))
+    warc.write_archives(named, str(tmp_path / "d"), 2)
+    history = warc.merge_runs(warc.read_runs(spark, str(tmp_path / "d"), "string"), 2).orderBy("range_no", "place").collect()
+    assert [r.url_key for r in history] == ["b,a)/1"] * 2 + ["d,c)/"] * 3 and {r.page_id: r.refers_to for r in history} == {f"p{big + 1}": None, f"p{big + 2}": f"p{big + 1}", f"p{big + 3}": None, None: f"p{big + 1}"}
+
+
+def test_merge_of_many_runs_is_the_sorted_whole(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE", 7)
+    rng = random.Random(60)
+    rows = [(f"k{rng.randint(0, 30)}", "t", rng.choice([None, rng.randint(0, 9)]), "u", f"a{i // 50}", i % 50, 1, "d", "response", None) for i in range(1000)]
+    rows = [r for k in range(20) for r in sorted(rows[50 * k : 50 * k + 50], key=warc._key)]
+    runs = spark.createDataFrame(rows, warc.captures_schema("bigint")).repartition(3, "archive")
+    got = [tuple(r)[:10] for r in warc.merge_runs(runs, 5).orderBy("range_no", "place").collect()]
+    assert got == sorted(rows, key=warc._key)
+
+
 def test_loser_tree_merges():
     rng = random.Random(3)
     for k in range(1, 9):
@@ -249,6 +524,19 @@ def test_languages_and_spans(spark):
     assert list(language_id.predict(["x"], None)["lang_pred"]) == ["und"]
 
 
+def test_language_of_odd_rows(spark):
+    rows = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (2, "der hund und die katze", "de"), (None, "el gato", "es"), (3, None, "en"), (4, "xyz", None), (5, "the cat " * 40_000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))
+    model = language_id.fit(docs)
+    assert model.langs == ["de", "en", "es"]
+    got = docs.select("doc_id", language_id.identified(docs, model).alias("x")).select("doc_id", "x.*").collect()
+    assert len(got) == 7 and {r.doc_id: r.lang_pred for r in got if r.doc_id in (2, 3, 5)} == {2: "de", 3: "und", 5: "en"}
+    assert language_id.fit(docs.limit(0)) is None and docs.limit(0).select(language_id.identified(docs.limit(0), model)).count() == 0
+    assert {r[0].lang_pred for r in docs.select(language_id.identified(docs, None)).collect()} == {"und"}
+    tie = language_id.Model(["aa", "bb"], np.zeros((3, 1 << language_id.BITS, 2), np.float32), np.ones((len(language_id.NAMES) + 1, 2), bool), 1.0)
+    assert list(language_id.predict(["abc def"], tie)["lang_pred"]) == ["aa"]
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
@@ -291,6 +579,40 @@ def test_rules_are_learned_and_applied(spark):
     assert quality_rules.fit(docs, labels.where("quality = 1")) == [] and quality_rules.keep_good(docs.limit(0), labels).count() == 0
 
 
+def test_growth_takes_the_best_test_by_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rng.integers(4, 40))
+        x = quality_rules.pd.DataFrame({"p": rng.integers(0, 6, n).astype(float), "q": rng.integers(0, 6, n).astype(float)})
+        bad = rng.random(n) < 0.4
+        cuts = {c: (np.unique(x[c])[1:] + np.unique(x[c])[:-1]) / 2 for c in x}
+        cuts = {c: v for c, v in cuts.items() if len(v)}
+        p0, n0 = bad.sum(), (~bad).sum()
+        rule = quality_rules._grow(x, bad, cuts, 1)
+
+        def gain(t, p0=p0, n0=n0, x=x, bad=bad):
+            hit = t.holds(x)
+            p, q = bad[hit].sum(), (~bad[hit]).sum()
+            return p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0))) if p else 0.0
+
+        best = max((gain(quality_rules.Test(c, up, at)) for c, v in cuts.items() for at in v for up in (False, True)), default=0.0) if p0 and n0 else 0.0
+        assert (rule is None) == (best <= 1e-9) and (rule is None or gain(rule.tests[0]) == pytest.approx(best))
+
+
+def test_verdicts_by_hand_on_odd_rows(spark):
+    rows = [(1, "w " * 60), (2, None), (3, " ".join(sample(1, 60, 80))), (3, " ".join(sample(1, 60, 80))), (None, sample(1, 70, 81)[0]), (4, " ".join(sample(2000, 60, 82)))]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("verdict", F.lit(7)).withColumn("stats", F.lit(8))
+    rule = quality_rules.Rule((quality_rules.Test("symbols_per_word", True, 0.5),)) if "symbols_per_word" in quality_rules.FEATURES else quality_rules.Rule((quality_rules.Test(next(iter(quality_rules.FEATURES)), True, 1e9),))
+    out = quality_rules.apply(docs, [rule])
+    assert out.columns == ["doc_id", "text", "verdict", "stats"]
+    assert sorted((r.doc_id or 0, r.verdict.kept) for r in out.collect()) == [(0, True), (1, False), (2, False), (3, True), (3, True), (4, True)]
+    labels = spark.createDataFrame([(3, 1), (3, 0), (4, 1), (None, 0), (9, 0), (1, None)], "doc_id long, quality int")
+    assert {(r.doc_id, r.quality) for r in quality_rules.common.one_label(labels).collect()} == {(3, 0), (4, 1), (9, 0)}
+    assert quality_rules.keep_good(docs.unionByName(docs), labels).columns == docs.columns
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert quality_rules.keep_good(named, labels.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == 4
+
+
 # 10
 
 
@@ -303,3 +625,38 @@ def test_scores_separate_classes(spark):
     assert all(0 <= v <= 1 for v in got.values()) and got[9000] == got[9001]
     assert np.mean([(v >= 0.5) == (i < 1000) for i, v in got.items() if i < 5000 and i % 2]) > 0.98
     assert compression_classifier.fit(docs, labels.where("quality = 1")) == 1.0 and compression_classifier.fit(docs, labels.limit(0)) == 0.5
+
+
+def test_scores_are_those_of_the_compressed_sizes(spark):
+    import zstandard
+
+    good, bad = sample(80, 60, 90), [t.upper() for t in sample(80, 60, 91)]
+    rows = [*enumerate(good), *((1000 + i, t) for i, t in enumerate(bad)), (None, good[0]), (3, good[3]), (7000, good[5] * 3000), (7001, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("quality", F.lit(9)).withColumn("score", F.lit(9))
+    labels = docs.where("doc_id < 5000").select("doc_id", (F.col("doc_id") < 1000).cast("int").alias("quality")).unionByName(spark.createDataFrame([(None, 1), (4, 1), (4, None)], "doc_id long, quality int"))
+    model = compression_classifier.fit(docs, labels)
+    got = docs.select("doc_id", "text", compression_classifier.scores(docs, model).alias("s")).collect()
+    assert len(got) == len(rows)
+
+    def want(text):
+        raw = (text or "").encode()
+        if not raw:
+            d, r, n = 0.0, 0.0, 0.0
+        else:
+            g, b = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw)) for x in (model.good, model.bad))
+            d, r, n = (b - g) / (b + g), np.log((g + b) / 2 / len(raw)), np.log(len(raw))
+        z = float(compression_classifier.design(np.array([[d, r, n]]))[0] @ model.weights)
+        return 1 / (1 + np.exp(-z))
+
+    for r in got:
+        assert r.s == pytest.approx(want(r.text), abs=0.02)
+    again = compression_classifier.fit(docs, labels.unionByName(labels))
+    assert again.good == model.good and np.allclose(again.weights, model.weights)
+    assert docs.limit(0).select(compression_classifier.scores(docs.limit(0), model)).count() == 0
+
+
+def test_quality_ranks_held_out_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    out = compression_classifier.op10(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "quality").toPandas()
+    good, bad = out.loc[out["quality"] == 1, "score"].to_numpy(), out.loc[out["quality"] == 0, "score"].to_numpy()
+    assert len(good) > 20 and len(bad) > 20 and (good[:, None] > bad[None, :]).mean() > 0.9
