@@ -304,6 +304,10 @@ def _old_tables(t) -> dict:
     old = {"topics": new["topics"].where("id < 3"), "instances": new["instances"].where("id % 5 <> 0")}
     old["accounts"] = among(new["accounts"], old["instances"], "instance_id").where("id % 2 = 0")
     old["statuses"] = among(among(new["statuses"], old["instances"], "instance_id"), old["accounts"], "account_id")
+    for c in ("reblog_of_id", "in_reply_to_id"):  # what isn't there can't be referred to
+        known = old["statuses"].select(F.col("id").alias(c), F.lit(True).alias("there"))
+        old["statuses"] = old["statuses"].join(known, c, "left").withColumn(c, F.when(F.col("there"), F.col(c))).drop("there")
+    old["statuses"] = cut(old["statuses"].select(*new["statuses"].columns))
     old["status_hashtags"], old["mentions"] = (among(new[n], old["statuses"], "status_id") for n in ("status_hashtags", "mentions"))
     old["topic_hashtags"] = among(among(new["topic_hashtags"], old["topics"], "topic_id"), old["instances"], "instance_id")
     old["reblogs"] = among(among(new["reblogs"], old["statuses"], "status_id"), old["accounts"], "booster_account_id")
@@ -311,9 +315,10 @@ def _old_tables(t) -> dict:
     return old
 
 
-@query("SELECT s.mastodon_id, i.domain, a.mastodon_id AS author, p.mastodon_id AS parent FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id JOIN v_accounts a ON a.id = s.account_id LEFT JOIN (SELECT s.* FROM v_statuses s JOIN v_accounts a ON a.id = s.account_id) p ON p.id = s.in_reply_to_id")
+@query(f"""WITH {OLD} SELECT s.mastodon_id, i.domain, a.mastodon_id AS author, CASE WHEN p.id IN (SELECT id FROM os) OR s.id NOT IN (SELECT id FROM os) THEN p.mastodon_id END AS parent
+FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id JOIN v_accounts a ON a.id = s.account_id LEFT JOIN sl p ON p.id = s.in_reply_to_id""")
 def m4_merged_statuses(t):
-    """The statuses after the merge, with author and parent by their local ids."""
+    """The statuses after the merge, with author and parent by their local ids; old rows stay as they are."""
     out = merge.merge_bundle(_old_tables(t), merge.export_bundle(tables_of(t)))[0]
     st = cut(out["statuses"])
     home = out["instances"].select(F.col("id").alias("instance_id"), "domain")

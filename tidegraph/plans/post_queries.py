@@ -296,7 +296,7 @@ def a6_sample_estimates(t):
     return statistics.sample_estimates(t.scores_fast, seen)
 
 
-@query("SELECT i.domain, count(*) AS n FROM v_posts p JOIN v_accounts a ON a.id = p.account_id JOIN v_instances i ON i.id = a.instance_id GROUP BY 1 ORDER BY n DESC, domain LIMIT 8")
+@query("SELECT i.domain, count(*) AS n FROM v_posts p JOIN v_accounts a ON a.id = p.account_id JOIN v_instances i ON i.id = p.instance_id WHERE deleted_at IS NULL GROUP BY 1 ORDER BY n DESC, domain LIMIT 8")
 def a6_top_domains(t):
     return statistics.top_domains(posts.with_authors(t.posts, t.accounts, t.instances))
 
