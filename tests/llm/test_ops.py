@@ -147,7 +147,7 @@ def token_scores(m, tokens):
     out = []
     for i in range(len(tokens)):
         first = i - i % attention_lm.STRIDE
-        seq = [attention_lm.ROWS + attention_lm.CLASSES + (p < -1) if p < 0 else int(m.row[tokens[p]]) for p in range(first - attention_lm.CONTEXT - 1, first + attention_lm.STRIDE - 1)]
+        seq = [attention_lm.ROWS + attention_lm.CLASSES + (p < -1) if p < 0 else int(m.row[tokens[min(p, len(tokens) - 1)]]) for p in range(first - attention_lm.CONTEXT - 1, first + attention_lm.STRIDE - 1)]
         q = i - first + attention_lm.CONTEXT
         x = m.w["embed"][seq] + m.w["place"]
         qkv = x @ m.w["qkv"]
