@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import attention_lm, compression_classifier, decontaminate, html_extract, language_id, line_dedup, minhash, mixing, periodic_runs, quality_rules, repair_turns, warc
+from . import attention_lm, compression_classifier, decontaminate, disclosure, html_extract, language_id, line_dedup, minhash, mixing, periodic_runs, quality_rules, repair_turns, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_language_id": language_id.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_compression_classifier": compression_classifier.op10,
+    "op11_disclosure": disclosure.op11,
     "op12_periodic_runs": periodic_runs.op12,
     "op13_repair_turns": repair_turns.op13,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op5_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op11_disclosure": disclosure.ORACLE}
