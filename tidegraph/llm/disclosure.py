@@ -98,7 +98,10 @@ def same_entity(kind: str, value: Column) -> Column:
 
 
 def co_occurrences(found: DataFrame) -> DataFrame:
-    """(entity, term, both, holds, contexts): documents with the entity near the term, with the entity, and different contexts of the two."""
+    """(entity, term, both, holds, near): documents with the entity near the term, with the entity, and with any entity near the term.
+
+    Pairs with too few different contexts are left out.
+    """
     near = lambda x: F.struct(F.reverse(F.slice(F.reverse(words(x["before"])), 1, WINDOW)).alias("left"), F.slice(words(x["after"]), 1, WINDOW).alias("right"))
     seen = lambda k: lambda x: F.struct(same_entity(k, x["value"]).alias("entity"), near(x).alias("near"))
     kinds = [F.transform(k, seen(k)) for k in KINDS]
@@ -112,11 +115,15 @@ def co_occurrences(found: DataFrame) -> DataFrame:
         listed = F.flatten(F.transform(terms, lambda w: F.array(row(x["entity"], w, number), row(x["entity"], w, context))))
         return F.array_append(listed, row(x["entity"], text, number))
 
-    # once a document: the entity; the entity with a term; these in one context
-    counted = each.select(F.explode(F.array_distinct(F.flatten(F.transform("at", rows)))).alias("x")).select("x.*").groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    pairs = counted.where("term IS NOT NULL").groupBy("entity", "term").agg(F.max(F.when(F.col("context").isNull(), F.col("n"))).alias("both"), F.count("context").alias("contexts"))
+    # once a document: the entity; the entity with a term; these in one context; the term near any entity
+    seen = F.flatten(F.transform("at", rows))
+    alone = F.transform(F.filter(F.array_distinct(F.transform(seen, lambda x: x["term"])), lambda w: w.isNotNull()), lambda w: row(text, w, number))
+    counted = common.cut(each.select(F.explode(F.concat(F.array_distinct(seen), alone)).alias("x")).select("x.*").groupBy("entity", "term", "context").agg(F.count("*").alias("n")))
+    pairs = counted.where("term IS NOT NULL AND entity IS NOT NULL").groupBy("entity", "term").agg(F.max(F.when(F.col("context").isNull(), F.col("n"))).alias("both"), F.count("context").alias("contexts"))
     holds = counted.where("term IS NULL").select(F.col("entity").alias("__entity"), F.col("n").alias("holds"))
-    return pairs.where(F.col("contexts") >= SUPPORT).join(holds, F.col("entity") == F.col("__entity")).select("entity", "term", "both", "holds", "contexts")
+    near = counted.where("entity IS NULL").select(F.col("term").alias("__term"), F.col("n").alias("near"))
+    pairs = pairs.where(F.col("contexts") >= SUPPORT).join(holds, F.col("entity") == F.col("__entity")).join(near, F.col("term") == F.col("__term"))
+    return pairs.select("entity", "term", "both", "holds", "near")
 
 
 def small(frame: DataFrame, chars: int) -> DataFrame:
@@ -126,17 +133,19 @@ def small(frame: DataFrame, chars: int) -> DataFrame:
 
 def revealing(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, disclosure, kind) of the marked terms, and (doc_id, h, term): the documents in which candidate terms occur, a row for each document."""
-    pairs = common.cut(co_occurrences(with_entities(texts)))
+    n = common.cut(texts.agg(F.count("*").alias("n")))
+    told = lambda df: F.ln(F.col("n") * F.col("both") / (F.col(df) * F.col("holds"))) / F.ln(F.col("n") / F.col("holds"))
+    # a term is in as many documents at least as it is near entities of, so this leaves out none that is marked
+    pairs = co_occurrences(with_entities(texts)).crossJoin(F.broadcast(n)).where("holds < n").where(told("near") >= DISCLOSED)
+    pairs = common.cut(pairs)
     candidates = common.cut(pairs.select("term").distinct())
     chars = candidates.agg(F.coalesce(F.sum(F.length("term") + 16), F.lit(0))).first()[0]
     held = texts.select("doc_id", "h", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     if not chars:  # no candidate: the words need not be read
         held = held.where(F.lit(False))
     held = common.cut(held.join(small(candidates, chars), "term"))
-    n = texts.agg(F.count("*").alias("n"))
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    told = F.ln(F.col("n") * F.col("both") / (F.col("df") * F.col("holds"))) / F.ln(F.col("n") / F.col("holds"))
-    scored = pairs.join(df, "term").crossJoin(F.broadcast(n)).where("holds < n").select("term", "entity", told.alias("disclosure"))
+    scored = pairs.join(df, "term").select("term", "entity", told("df").alias("disclosure"))
     best = scored.where(F.col("disclosure") >= DISCLOSED).groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.min_by("entity", F.struct(-F.col("disclosure"), "entity")).alias("entity"))
     return best.select("term", "disclosure", F.split("entity", ":")[0].alias("kind")), held
 
