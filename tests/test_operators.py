@@ -69,7 +69,7 @@ def test_modularity_finds_planted_blocks(spark):
 
 def test_codelength_of_one_module_is_flow_entropy(spark):
     edges, nodes = two_cliques(spark)
-    flow = metrics.page_rank(edges, nodes, rounds=5)
+    flow = metrics.page_rank(edges, nodes)
     p = [r.flow for r in flow.collect()]
     assert abs(sum(p) - 1) < 1e-9
     whole = nodes.select("id", F.lit(0).cast("long").alias("community"))
@@ -190,10 +190,10 @@ def test_flow_by_brute_force(spark):
     rng = random.Random(5)
     links = {(a, b): rng.randint(1, 5) for a in range(12) for b in range(12) if a != b and a < 10 and rng.random() < 0.3}
     df = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src long, dst long, weight long")
-    got = {r.id: r.flow for r in metrics.page_rank(df, spark.range(12), tolerance=0, rounds=12).collect()}
+    got = {r.id: r.flow for r in metrics.page_rank(df, spark.range(12)).collect()}
     out = {a: sum(w for (x, _), w in links.items() if x == a) for a in range(12)}
     flow = [1 / 12] * 12
-    for _ in range(12):
+    for _ in range(200):
         dead = sum(flow[a] for a in range(12) if not out[a])
         flow = [0.15 / 12 + 0.85 * (sum(flow[a] * w / out[a] for (a, b), w in links.items() if b == i) + dead / 12) for i in range(12)]
     assert [got[i] for i in range(12)] == pytest.approx(flow, rel=1e-9)
@@ -237,10 +237,50 @@ def test_cascade_tree_by_brute_force(spark):
 def test_moves_reach_the_best_partition_of_two_cliques(spark):
     edges, nodes = two_cliques(spark)
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    found = communities.flow_communities(both, nodes, flow=metrics.page_rank(both, nodes, rounds=6))
+    found = communities.flow_communities(both, nodes, flow=metrics.page_rank(both, nodes))
     assert len({r.community for r in found.where("id < 6").collect()}) == 1 and found.select("community").distinct().count() == 2
 
 
+def planted(spark, blocks=4, size=15, seed=3):
+    rng = random.Random(seed)
+    n = blocks * size
+    rows = [(a, b, 1) for a in range(n) for b in range(n) if a != b and rng.random() < (0.5 if a // size == b // size else 0.02)]
+    return spark.createDataFrame(rows, "src long, dst long, weight long"), spark.range(n)
+
+
+def test_communities_are_the_planted_ones_and_hold_together(spark):
+    edges, nodes = planted(spark)
+    truth = nodes.select("id", F.floor(F.col("id") / 15).alias("community"))
+    moved, refined, flow = (
+        communities.modularity_communities(edges, nodes).cache(), communities.modularity_communities(edges, nodes, refine=True).cache(),
+        communities.flow_communities(edges, nodes).cache(),
+    )
+    nmi = {(r.x, r.y): r.nmi for r in metrics.agreements({"truth": truth, "moved": moved, "refined": refined, "flow": flow}).collect()}
+    assert min(nmi["truth", k] for k in ("moved", "refined", "flow")) > 0.9 and nmi["flow", "flow"] == pytest.approx(1.0)
+    assert nmi["truth", "moved"] == pytest.approx(metrics.mutual_information(truth, moved).collect()[0].nmi)
+    q = lambda p: metrics.modularity(edges, p).collect()[0].modularity
+    assert q(refined) >= q(moved) - 1e-9 and q(moved) > q(truth) - 0.02
+    assert communities.split_disconnected(edges, refined).select("community").distinct().count() == refined.select("community").distinct().count()
+
+
+def test_null_graphs_go_together_and_planted_blocks_are_significant(spark):
+    edges, nodes = planted(spark)
+    null = nullmodel.configurations(edges, 3).cache()
+    pairs = {(r.g, r.src, r.dst) for r in null.collect()}
+    assert len(pairs) == null.count() and {g for g, _, _ in pairs} == {1, 2, 3} and all(a != b for _, a, b in pairs)
+    real_out, real_in = ({r[0]: r[1] for r in edges.groupBy(c).count().collect()} for c in ("src", "dst"))
+    for g in (1, 2, 3):
+        for k, real in ((1, real_out), (2, real_in)):
+            got = {}
+            for p in pairs:
+                if p[0] == g:
+                    got[p[k]] = got.get(p[k], 0) + 1
+            assert all(n <= real[i] for i, n in got.items()) and sum(got.values()) > 0.8 * sum(real.values())
+    row = nullmodel.significance(edges, nodes, 3).collect()[0]
+    assert row.significant and row.real > row.null_mean
+    assert -1e-9 <= row.null_mean < 0.2
+
+
 def test_ids_pass_scorers_whole(spark):
     big = 2**60
     rows = spark.createDataFrame([(big + 1, "en", "a b"), (big + 2, "en", None), (None, "en", "c")], "id long, lang string, text string")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +20,52 @@ def ensure_shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidegraph-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor costs no recomputation of the loop."""
-    ensure_shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, one: bool = False) -> DataFrame:
+    """``df`` computed once and written as a table in the shared folder, so that a lost executor costs no recomputation of the loop.
+
+    A table, unlike a checkpoint, is planned with by its true size: sizes guessed for joins multiply from
+    round to round, until planning with these numbers takes longer than the work.  With ``one`` the result is known
+    to be in one partition.
+    """
+    spark = df.sparkSession
+    ensure_shared_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    (df.coalesce(1) if one else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out = out.coalesce(1) if one else out
+    out._written = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables of ``cut`` that nothing will read again."""
+    for df in frames:
+        if written := getattr(df, "_written", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a loop's largest table that one task takes.
+ROWS_A_TASK = 1_000_000
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[bool]:
+    """Plans of a loop over so many rows: where one task is enough, one partition and no plan changes on the way (True)."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        if one := rows <= ROWS_A_TASK:
+            for name, value in zip(names, ("1", "false"), strict=True):
+                spark.conf.set(name, value)
+        yield one
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def with_graph(frame: DataFrame) -> DataFrame:
+    """``frame`` with a column ``g``, the number of the graph that a row belongs to (0 where it has none)."""
+    from pyspark.sql import functions as F
+
+    return frame if "g" in frame.columns else frame.withColumn("g", F.lit(0))
