@@ -206,8 +206,8 @@ def g18_ego_expansion(t):
 
 
 CHAIN = """WITH RECURSIVE parent AS (SELECT id, CASE WHEN in_reply_to_id IS NOT NULL THEN in_reply_to_id ELSE reblog_of_id END AS up FROM v_statuses WHERE deleted_at IS NULL),
-climb AS (SELECT id, id AS at, up, 0 AS steps FROM parent UNION ALL SELECT climb.id, above.id, above.up, steps + 1 FROM climb JOIN parent above ON above.id = climb.up),
-chain AS (SELECT id, at AS root, steps + 1 AS depth FROM climb WHERE up IS NULL)"""
+climb AS (SELECT id, id AS post, up, 0 AS steps FROM parent UNION ALL SELECT climb.id, above.id, above.up, steps + 1 FROM climb JOIN parent above ON above.id = climb.up),
+chain AS (SELECT id, post AS root, steps + 1 AS depth FROM climb WHERE up IS NULL)"""
 
 
 @query(f"{CHAIN} SELECT id, root, depth FROM chain")
