@@ -24,9 +24,14 @@ def live_upsert(rows: DataFrame, key: list[str], first: list[str], last: list[st
     return rows.groupBy(*key).agg(*[F.min_by(c, by).alias(c) for c in first], *[F.max_by(c, by).alias(c) for c in last])
 
 
+def new_rows(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    """One incoming row for each key that is not there."""
+    return incoming.dropDuplicates(key).join(existing.select(*key).distinct(), key, "left_anti")
+
+
 def insert_only(existing: DataFrame, incoming: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """M3: existing rows stay as they are, new keys come in; and each incoming key flagged as new or existing."""
-    new = incoming.dropDuplicates(key).join(existing.select(*key).distinct(), key, "left_anti")
+    new = new_rows(existing, incoming, key)
     flagged = incoming.select(*key).distinct().join(existing.select(*key).distinct().withColumn("__there", F.lit(True)), key, "left")
     return existing.unionByName(new.select(*existing.columns)), flagged.select(*key, F.coalesce("__there", F.lit(False)).alias("existed"))
 
@@ -72,12 +77,19 @@ def merge_bundle(existing: dict[str, DataFrame], incoming: dict[str, DataFrame])
     has the statuses); a status keeps a null parent where that one is unknown.  The summary has
     new and existing rows by table.
     """
-    out, flags = {}, {}
+    out, _, summary = merge_bundle_parts(existing, incoming)
+    return out, summary
+
+
+def merge_bundle_parts(existing: dict[str, DataFrame], incoming: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, DataFrame], DataFrame]:
+    """M4 as (merged tables, their new rows, summary); of existing rows only those that the bundle names are needed."""
+    out, fresh, flags = {}, {}, {}
 
     def add(name: str, rows: DataFrame, key: list[str]) -> None:
         old = existing[name]
         rows = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns])
         out[name], flags[name] = insert_only(old, rows, key)
+        fresh[name] = new_rows(old, rows, key)
 
     add("topics", incoming["topics"].withColumn("id", surrogate("name")), ["name"])
     topic = out["topics"].select(F.col("id").alias("topic_id"), F.col("name").alias("__topic"))
@@ -110,7 +122,7 @@ def merge_bundle(existing: dict[str, DataFrame], incoming: dict[str, DataFrame])
     add("reblogs", found(found(incoming["reblogs"], "status_ref", "statuses", "status_id"), "booster_account_ref", "accounts", "booster_account_id"), ["status_id", "booster_account_id"])
     links = found(found(incoming["follows"], "follower_ref", "accounts", "follower_account_id"), "followed_ref", "accounts", "followed_account_id")
     add("follows", links, ["follower_account_id", "followed_account_id"])
-    return out, import_summary(flags)
+    return out, fresh, import_summary(flags)
 
 
 def replace_slice(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from tidegraph.functions import scores as S
 from tidegraph.functions.text import NO_SOURCE
 from tidegraph.operators import compare, merge, posts, scoring, statistics
 from tidegraph.operators.iterate import cut, ensure_shared_dir
+from tidegraph.operators.stored import Stored, merge_bundle_into
 from tidegraph.sources import readers, writers
 from tidegraph.streaming import jobs
 
@@ -315,17 +316,73 @@ def _old_tables(t) -> dict:
     return old
 
 
-@query(f"""WITH {OLD} SELECT s.mastodon_id, i.domain, a.mastodon_id AS author, CASE WHEN p.id IN (SELECT id FROM os) OR s.id NOT IN (SELECT id FROM os) THEN p.mastodon_id END AS parent
-FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id JOIN v_accounts a ON a.id = s.account_id LEFT JOIN sl p ON p.id = s.in_reply_to_id""")
+#: Keys of the stored tables of a bundle, and the columns that choose a row's folder.
+STORED_KEYS = {
+    "topics": (["name"], None), "instances": (["domain"], None), "accounts": (["instance_id", "mastodon_id"], None), "statuses": (["instance_id", "mastodon_id"], None),
+    "status_hashtags": (["status_id", "hashtag"], ["status_id"]), "mentions": (["status_id", "mentioned_acct"], ["status_id"]), "topic_hashtags": (["topic_id", "instance_id", "hashtag"], None),
+    "reblogs": (["status_id", "booster_account_id"], ["status_id"]), "follows": (["follower_account_id", "followed_account_id"], ["follower_account_id"]),
+}
+
+MERGED_STATUSES = f"""WITH {OLD} SELECT s.mastodon_id, i.domain, a.mastodon_id AS author, CASE WHEN p.id IN (SELECT id FROM os) OR s.id NOT IN (SELECT id FROM os) THEN p.mastodon_id END AS parent
+FROM v_statuses s JOIN v_instances i ON i.id = s.instance_id JOIN v_accounts a ON a.id = s.account_id LEFT JOIN sl p ON p.id = s.in_reply_to_id"""
+
+
+@query(MERGED_STATUSES)
 def m4_merged_statuses(t):
     """The statuses after the merge, with author and parent by their local ids; old rows stay as they are."""
     out = merge.merge_bundle(_old_tables(t), merge.export_bundle(tables_of(t)))[0]
-    st = cut(out["statuses"])
-    home = out["instances"].select(F.col("id").alias("instance_id"), "domain")
-    rows = st.join(home, "instance_id").join(out["accounts"].select(F.col("id").alias("account_id"), F.col("mastodon_id").alias("author")), "account_id")
+    return _statuses_by_name(cut(out["statuses"]), out["instances"], out["accounts"])
+
+
+def _statuses_by_name(st, instances, accounts):
+    home = instances.select(F.col("id").alias("instance_id"), "domain")
+    rows = st.join(home, "instance_id").join(accounts.select(F.col("id").alias("account_id"), F.col("mastodon_id").alias("author")), "account_id")
     return rows.join(st.select(F.col("id").alias("in_reply_to_id"), F.col("mastodon_id").alias("parent")), "in_reply_to_id", "left").select("mastodon_id", "domain", "author", "parent")
 
 
+#: Folders of a stored table in the queries.
+FOLDERS = 8
+
+
+@query("SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS label FROM events GROUP BY 1")
+def m1_stored_labels(t):
+    """Labels in a stored table, and a batch that changes the folders of its keys."""
+    rows = t.events.select(F.col("user_id").alias("id"), F.col("event_type").alias("label"), "ts", "event_id")
+    first = merge.latest(rows.where("event_id % 2 = 0"), ["id"], ["ts", "event_id"])
+    table = Stored.of(scratch(t.spark, "labels"), first, ["id"], buckets=FOLDERS)
+    table.upsert(rows.where("event_id % 2 = 1"), ["ts", "event_id"])
+    return table.read(t.spark).select("id", "label")
+
+
+@query("SELECT user_id, coalesce(arg_min(event_type, (ts, event_id)) FILTER (event_id % 2 = 0), arg_min(event_type, (ts, event_id))) AS source, arg_max(props, (ts, event_id)) AS raw FROM events GROUP BY 1")
+def m2_stored_upsert(t):
+    """First- and last-seen columns in a stored table; what was stored first stays, though a later batch may have an earlier row."""
+    rows = t.events.select("user_id", F.col("event_type").alias("source"), F.col("props").alias("raw"), "ts", "event_id")
+    first = merge.live_upsert(rows.where("event_id % 2 = 0"), ["user_id"], ["source"], ["raw", "ts", "event_id"], ["ts", "event_id"])
+    table = Stored.of(scratch(t.spark, "live"), first, ["user_id"], buckets=FOLDERS)
+    table.live_upsert(rows.where("event_id % 2 = 1"), ["source"], ["ts", "event_id"])
+    return table.read(t.spark).select("user_id", "source", "raw")
+
+
+@query("SELECT id, acct, id % 3 <> 0 AS was_there FROM v_accounts WHERE id % 2 = 0 OR id % 3 <> 0")
+def m3_stored_inserts(t):
+    acc = t.accounts.select("id", "acct", (F.col("id") % 3 != 0).alias("was_there"))
+    table = Stored.of(scratch(t.spark, "accounts"), acc.where("was_there"), ["id"], buckets=FOLDERS)
+    table.insert(acc.where("id % 2 = 0").withColumn("was_there", F.lit(False)))
+    return table.read(t.spark)
+
+
+@query(MERGED_STATUSES)
+def m4_stored_bundle(t):
+    """A whole bundle merged into nine stored tables that hold a part of it."""
+    bundle = merge.export_bundle(tables_of(t))
+    wide = lambda df: df.withColumns({c: F.col(c).cast("bigint") for c in df.columns if c == "id" or c.endswith("_id") and c != "mastodon_id"})
+    tables = {n: Stored.of(scratch(t.spark, n), wide(rows), *STORED_KEYS[n], buckets=FOLDERS) for n, rows in _old_tables(t).items()}
+    merge_bundle_into(tables, bundle)
+    st, home, acc = (tables[n].read(t.spark) for n in ("statuses", "instances", "accounts"))
+    return _statuses_by_name(st, home, acc)
+
+
 @query("SELECT topic_id, instance_id, hashtag, CASE WHEN topic_id < 2 THEN usage_count + 1 ELSE usage_count END AS usage_count FROM v_topic_hashtags WHERE topic_id >= 2 OR hashtag LIKE '%I%'")
 def m5_replace_slice(t):
     rows = t.topic_hashtags.select("topic_id", "instance_id", "hashtag", "usage_count")
@@ -386,7 +443,7 @@ def p4_claim_pipeline(t):
 
 def _drops(t, df, name: str, parts: int = 4) -> str:
     path = scratch(t.spark, name)
-    df.repartition(parts, df[df.columns[0]]).write.json(path)
+    df.repartition(parts, df[df.columns[0]]).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     return path
 
 
@@ -409,9 +466,33 @@ def x2_streamed_scores(t):
 @query("SELECT coalesce(nullif(trim(lang), ''), '??') AS lang, cast(CASE WHEN NOT isnan(probability) THEN least(floor(probability * 5), 4) ELSE -1 END AS int) AS bin, count(*) AS n FROM v_post_texts JOIN v_scores_fast USING (id) GROUP BY 1, 2")
 def x3_streamed_counts(t):
     path = _drops(t, t.post_texts.select("id", "lang").join(t.scores_fast, "id").select("id", "lang", "probability"), "rows")
-    name = f"counts_{uuid.uuid4().hex}"
-    jobs.live_counts(jobs.drops(t.spark, path, "id long, lang string, probability double", 2), name, scratch(t.spark, "mark")).awaitTermination()
-    return cut(t.spark.table(name))
+    target = scratch(t.spark, "counts")
+    jobs.live_counts(jobs.drops(t.spark, path, "id long, lang string, probability double", 2), target, scratch(t.spark, "mark")).awaitTermination()
+    return jobs.counted(t.spark, target).select("lang", "bin", "n")
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1")
+def x1_since_cursor(t):
+    """Two runs of which the second delivers again what the first did: nothing is collected twice."""
+    rows = t.events.select("event_id", "user_id", F.col("event_type").alias("tag"))
+    path, target, mark = scratch(t.spark, "since"), scratch(t.spark, "beyond"), scratch(t.spark, "mark")
+    for part in (rows.where(F.col("event_id") <= F.lit(rows.agg(F.expr("(min(event_id) + max(event_id)) div 2")).first()[0])), rows):
+        part.write.mode("append").json(path)
+        fresh = jobs.since_cursor(jobs.drops(t.spark, path, "event_id long, user_id long, tag string"), ["user_id", "tag"], "event_id")
+        jobs.append_log(fresh, target, mark).awaitTermination()
+    return t.spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+
+
+@query("SELECT event_id AS id, ts AS created_at, props AS raw FROM events WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 DAY FROM events)")
+def x4_due_posts(t):
+    """Posts that the stream has left ten days behind, each once, with their newest counters, whatever order and repeats they came in."""
+    rows = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("props").alias("raw"))
+    seen = rows.withColumn("seen_at", F.col("created_at") + F.expr("interval 2 hours"))
+    both = seen.unionByName(rows.withColumn("raw", F.lit("{}")).withColumn("seen_at", F.col("created_at"))).unionByName(seen.where("id % 3 = 0"))
+    path, target = _drops(t, both, "interactions"), scratch(t.spark, "due")
+    stream = jobs.drops(t.spark, path, "id long, created_at timestamp, raw string, seen_at timestamp")
+    jobs.due(stream, 10, target, scratch(t.spark, "mark")).awaitTermination()
+    return t.spark.read.parquet(target).select("id", "created_at", "raw")
 
 
 @query("""SELECT id, language, CASE WHEN id % 2 = 0 THEN '{"reblogs_count": ' || cast(id % 9 AS string) || '}' ELSE raw END AS raw FROM v_posts""")
