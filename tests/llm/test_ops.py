@@ -660,3 +660,23 @@ def test_quality_ranks_held_out_documents(spark):
     out = compression_classifier.op10(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "quality").toPandas()
     good, bad = out.loc[out["quality"] == 1, "score"].to_numpy(), out.loc[out["quality"] == 0, "score"].to_numpy()
     assert len(good) > 20 and len(bad) > 10 and (good[:, None] > bad[None, :]).mean() > 0.9
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<body><nav><a>Home</a></nav><p title="the hidden cost">{0}</p><p hidden>unseen</p><p style="display: none">unseen</p><p aria-hidden=true>unseen</p></body>', "{0}"),
+        ("<body><main><p>{0}</p></main><div><article>teaser words here</article></div></body>", "{0}"),
+        ("<body><main><article><p>{0}</p></article><p>see also this</p></main></body>", "{0}"),
+        ('<body><script>"<article>"</script><!-- <main> --><p>{0}</p></body>', "{0}"),
+        ("<body><form id=aspnet><nav><a>Home page</a></nav><h1>Head</h1><p>{0}</p></form><footer>tiny foot</footer></body>", "Head\n{0}"),
+        ("<body><p>{0}</p><form><p>Your name and mail</p></form></body>", "{0}"),
+        ('<body><div class="hero-banner"><h1>Headline</h1></div><div><p>{0}</p></div></body>', "Headline\n{0}"),
+        ('<body><div><p>{0}</p><div id="discussion"><h2>Discussion</h2><p>{0}</p></div></div></body>', "{0}\nDiscussion\n{0}"),
+        ('<body><div><p>{0}</p><div id="discussion"><p>Nice!</p><p>I agree</p></div></div></body>', "{0}"),
+        ('<body><article><p>{0}</p></article><div id="comments"><h2>Comments</h2><p>{0}</p></div></body>', "{0}"),
+    ],
+)
+def test_text_is_not_lost_to_names_and_elements(page, text):
+    long = " ".join(f"word{i}" for i in range(200))
+    assert html_extract.extract(page.format(long), html_extract.Weights()) == text.format(long)

@@ -3,7 +3,7 @@
 A page is a sequence of tags and words.  Words score positive and tags negative, with
 weights learned from labelled pages: pages that mark their article with an ``article`` or
 ``main`` element serve as labels, and a weight is the log odds of the token's class inside
-against outside that element, drawn towards a default where there are few.  One linear scan
+against outside that element (whichever holds most of the text), drawn towards a default where there are few.  One linear scan
 finds the contiguous region of the highest total; its blocks are the text.  Where a page marks
 its article, words inside weigh positive and tags nothing, so the region spans all of it.
 
@@ -11,7 +11,8 @@ Parts that are no text of the article by their element (menus, headers of the pa
 sidebars, forms), and elements that names (class, id, role) set apart, weigh nothing and are left
 out.  Names are features: each part of a name weighs by how often it was seen in and outside
 marked articles, with a prior for the listed ones, and an element goes only if the weights of its
-names say so and enough of the page's text is left without it.
+names say so and enough of the page's text is left without it; prose stays under names that parts of
+an article have too.  A form that wraps the page is no reason to drop it.
 
 Defined cases: null, empty and tag-only html gives an empty text; unclosed, stray and cut
 tags are read much as a browser would, in one linear pass (a tag cut off at the end of the page
@@ -48,6 +49,8 @@ BLOCKS = (
 CELLS = ("br", "td", "th")
 NEVER = ("head", "nav", "menu", "footer", "aside", "form", "button", "dialog", "fieldset", "datalist", "label", "audio", "video", "canvas")
 CONTAINERS = ("article", "main")
+#: Of these, elements that may hold a page's article too, where hardly any text is outside of them.
+WRAPPERS = frozenset(("form", "fieldset", "label", "dialog"))
 #: An end tag doesn't reach beyond these, and a start tag of the first ends an open one of the others up to its walls.
 SCOPES = ("table", "td", "th", "caption")
 ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead")}
@@ -60,6 +63,8 @@ NEVER_NAMED = (
     "comment comments disqus respond reply replies discussion reactions share sharing social related recommended recommendations teaser teasers outbrain taboola skip"
 ).split()
 CONTENT_NAMED = "article content main post entry story body text page prose wrapper container layout".split()
+#: Of the first, names that parts of an article have too: prose under them stays.
+EITHER_NAMED = frozenset(("discussion", "search"))
 LAYOUT_NAMED = "with without has no long short free two left right column col cols".split()
 
 TOKEN = re.compile(
@@ -67,7 +72,7 @@ TOKEN = re.compile(
     re.S,
 )
 NAMES = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 
 _NEVER, _BLOCKS, _RAW, _VOID, _LAYOUT, _SCOPES = map(frozenset, (NEVER, BLOCKS, RAW, VOID, LAYOUT_NAMED, SCOPES))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -76,6 +81,15 @@ PRIOR = {**dict.fromkeys(NEVER_NAMED, -2.0), **dict.fromkeys(CONTENT_NAMED, 2.0)
 APART = -1.0
 
 
+def hidden(attributes: str) -> bool:
+    """An element that isn't shown, by the names of its attributes, its aria-hidden or its style."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
+    return False
+
+
 def name_tokens(attributes: str) -> list[list[str]]:
     """The names of an element, each in its parts."""
     out = []
@@ -103,27 +117,28 @@ class Token(NamedTuple):
     text: str | None
     block: str
     link: bool
-    never: bool  # in a part that its element rules out
+    never: int  # number of the innermost element that its kind rules out, 0 outside of such
     named: int  # number of the outermost element that names set apart, 0 outside of such
-    held: bool  # inside the marked article
+    held: int  # inside an article element (1), a main one (2), or both
 
 
 class Stack:
     """Open elements, with the places of each name, of blocks and of walls, so that no tag has to look through them."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, int, int]] = []
         self.at: dict[str, list[int]] = defaultdict(list)
         self.blocks: list[int] = []
         self.walls: list[int] = []
         self.scopes: list[int] = []
-        self.never, self.named = 0, []
+        self.never, self.named = [], []
 
-    def push(self, name: str, never: bool, named: int) -> None:
+    def push(self, name: str, never: int, named: int) -> None:
         i = len(self.open)
         self.open.append((name, never, named))
         self.at[name].append(i)
-        self.never += never
+        if never:
+            self.never.append(never)
         if named:
             self.named.append(named)
         if name in _BLOCKS:
@@ -137,9 +152,9 @@ class Stack:
         name, never, named = self.open[i]
         if name:
             self.at[name].pop()
-            self.never -= never
-            if named:
-                self.named.remove(named) if self.named[-1] != named else self.named.pop()
+            for places, number in ((self.never, never), (self.named, named)):
+                if number:
+                    places.remove(number) if places[-1] != number else places.pop()
 
     def close(self, to: int) -> None:
         """Close all elements from place ``to`` on."""
@@ -160,7 +175,7 @@ class Stack:
             return
         if name not in _BLOCKS and self.blocks and self.blocks[-1] > i:
             self._leave(i)
-            self.open[i] = ("", False, 0)
+            self.open[i] = ("", 0, 0)
         else:
             self.close(i)
 
@@ -185,25 +200,29 @@ class Stack:
         return self.open[self.blocks[-1]][0] if self.blocks else ""
 
 
-def container_of(low: str) -> str:
-    """Which element marks the article of a page (in lower case), '' where none does."""
-    return next((c for c in CONTAINERS if re.search(rf"<{c}[\s>/]", low)), "")
+@dataclass
+class Parts:
+    """The numbered elements that may be left out: what each is inside of (kind), and whether it may wrap an article (kind) or its names may be an article's (names)."""
+
+    inside: list[int] = field(default_factory=lambda: [0])
+    wraps: list[bool] = field(default_factory=lambda: [False])
+    either: dict[int, bool] = field(default_factory=dict)
 
 
-def tokens(page: str | None, names: dict[str, float] | None = None, elements: bool = True) -> Iterator[Token]:
+def tokens(page: str | None, names: dict[str, float] | None = None, elements: bool = True, parts: Parts | None = None) -> Iterator[Token]:
     """Tags and texts in page order, one linear pass; ``names`` are the weights of names (None: not heeded)."""
     if not page:
         return
-    low = page.lower()
-    container = container_of(low)
+    low, parts = page.lower(), parts or Parts()
     closes: dict[str, int] = {}
     stack, at, n, apart = Stack(), 0, len(page), 0
-    held = lambda: bool(container) and bool(stack.at[container])
+    held = lambda: bool(stack.at["article"]) + 2 * bool(stack.at["main"])
+    never_in = lambda: stack.never[-1] if stack.never else 0
     while at < n:
         m = TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at:
-            yield Token("", page[at:end], stack.block(), bool(stack.at["a"]), stack.never > 0, stack.named[0] if stack.named else 0, held())
+            yield Token("", page[at:end], stack.block(), bool(stack.at["a"]), never_in(), stack.named[0] if stack.named else 0, held())
         if not m:
             return
         at = m.end()
@@ -222,19 +241,71 @@ def tokens(page: str | None, names: dict[str, float] | None = None, elements: bo
             stack.end(name)
         elif name not in _VOID:
             stack.start(name)
-            inside = held()
-            never = elements and (name in _NEVER or name == "header" and not inside)
-            if never and name != "head":
+            inside = held() > 0
+            ruled = elements and (name in _NEVER or name == "header" and not inside)
+            if ruled and name != "head":
                 if name not in closes:
                     closes[name] = low.rfind(f"</{name}")
-                never = closes[name] >= at  # one that is never closed can't tell where it ends
-            never = never or bool(attributes) and bool(HIDDEN.search(attributes)) and elements
-            named = 0
+                ruled = closes[name] >= at  # one that is never closed can't tell where it ends
+            unseen = elements and bool(attributes) and hidden(attributes)
+            never = named = 0
+            if ruled or unseen:
+                never = len(parts.inside)
+                parts.inside.append(never_in())
+                parts.wraps.append(name in WRAPPERS and not unseen)
             if names is not None and attributes and not stack.named and name not in ("html", "body", *CONTAINERS[:1]) and names_weight(attributes, names, inside) <= APART:
                 apart += 1
                 named = apart
+                worst = {p for x in name_tokens(attributes) for p in x if names.get(p, PRIOR.get(p, 0.0)) < 0}
+                parts.either[named] = worst <= EITHER_NAMED
             stack.push(name, never, named)
-        yield Token(f"/{name}" if closing else name, None, "", False, stack.never > 0, stack.named[0] if stack.named else 0, held())
+        yield Token(f"/{name}" if closing else name, None, "", False, never_in(), stack.named[0] if stack.named else 0, held())
+
+
+def _counts(t: Token) -> int:
+    """The words of a text outside of links."""
+    return 0 if t.text is None or t.link else len(t.text.split())
+
+
+def seen_tokens(page: str | None, names: dict[str, float] | None = None, elements: bool = True) -> tuple[list[Token], Parts]:
+    """All tokens of a page, with ``never`` 0 in a wrapper that hardly any text is outside of, and ``held`` for the element that marks the article."""
+    parts = Parts()
+    seen = list(tokens(page, names, elements, parts))
+    if any(parts.wraps):
+        in_wrap = let_in(seen, parts)
+        seen = [t._replace(never=0) if t.never in in_wrap else t for t in seen] if in_wrap else seen
+    bit = container_of(seen)
+    return [t._replace(held=int(t.held & bit > 0)) if t.held else t for t in seen], parts
+
+
+def let_in(seen: list[Token], parts: Parts) -> set[int]:
+    """Wrappers that are not left out: fewer words are outside than fifty and a fifth of their own; then what is ruled out in them by itself still is."""
+    own = [0] * len(parts.inside)
+    for t in seen:
+        own[t.never] += _counts(t)
+    total = own[:]
+    for k in range(len(own) - 1, 0, -1):
+        total[parts.inside[k]] += total[k]
+    rest, kept = own[0], {0}
+    for k in range(1, len(own)):
+        if parts.wraps[k] and parts.inside[k] in kept and total[k] and rest < max(1, min(50, 0.2 * total[k])):
+            kept.add(k)
+            rest += own[k]
+    return kept - {0}
+
+
+def container_of(seen: list[Token]) -> int:
+    """Which element marks the article of a page: 1 for article ones, 2 for main, where they hold half as much as those or more; 0 where none holds enough to be it."""
+    words: Counter = Counter()
+    for t in seen:
+        if not t.never and not t.named:
+            words[t.held] += _counts(t)
+    by = {1: words[1] + words[3], 2: words[2] + words[3]}
+    every = sum(words.values())
+    bit = 1 if by[1] and by[1] >= 0.5 * by[2] else 2 if by[2] else 0
+    if not bit:  # nothing but links, or names that are not to be heeded: any that has text
+        return next((b for b in (1, 2) if any(t.held & b and t.text is not None and not t.text.isspace() for t in seen)), 0)
+    return bit if by[bit] >= min(50, 0.2 * (every - by[bit])) else 0
 
 
 def kind(t: Token) -> str:
@@ -259,31 +330,51 @@ class Weights:
 
 
 def default_weight(name: str) -> float:
-    return -0.5 if name[0] == "<" else 0.1 if name == "link" else 1.0
+    return -0.5 if name[0] == "<" else {"link": 0.1, "word:h1": 3.0}.get(name, 1.0)  # a title of one word outweighs the tags up to the text
 
 
 def extract(page: str | None, weights: Weights) -> str:
     """The text of the best region of one page; where that is empty, names are not heeded, then elements neither."""
     for names, elements in ((weights.names, True), (None, True), (None, False)):
-        if text := text_of(best_region(list(tokens(page, names, elements)), weights)):
+        if text := text_of(best_region(*seen_tokens(page, names, elements), weights)):
             return text
     return ""
 
 
-def left_out(seen: list[Token]) -> set[int]:
-    """Numbers of the elements that names set apart and that are left out: enough other text must remain."""
-    words: Counter = Counter()
-    text = [t for t in seen if t.text is not None and not t.never and not t.link and not t.text.isspace()]
+def left_out(seen: list[Token], parts: Parts) -> set[int]:
+    """Numbers of the elements that names set apart and that are left out.
+
+    Enough other text must remain.  Prose (forty words a block) stays under names that parts of an article have
+    too, and so does the only main heading, in an element that has no other text.
+    """
+    words, blocks, heads, other = Counter(), defaultdict(set), Counter(), Counter()
+    block = 0
+    text = []
+    for t in seen:
+        if t.text is None:
+            block += t.name.lstrip("/") in _BLOCKS
+        elif not t.never and not t.text.isspace():
+            (heads if t.block == "h1" else other)[t.named] += 1
+            if not t.link:
+                text.append(t)
+                if t.block not in _HEADINGS:
+                    blocks[t.named].add(block)
     marked = any(t.held and not t.named for t in text)
+    prose: Counter = Counter()
     for t in text:
         if t.held or not marked:
             words[t.named] += len(t.text.split())
-    return {k for k in {t.named for t in seen} - {0} if words[0] >= max(1, min(50, 0.2 * words[k]))}
+        if t.block not in _HEADINGS:
+            prose[t.named] += len(t.text.split())
+    out = {k for k in {t.named for t in seen} - {0} if words[0] >= max(1, min(50, 0.2 * words[k]))}
+    out -= {k for k in out if parts.either.get(k) and blocks[k] and prose[k] >= 40 * len(blocks[k])}
+    title = [k for k in heads if k in out and not other[k]]
+    return out - set(title) if len(title) == 1 and not any(heads[k] for k in heads if k not in title) else out
 
 
-def best_region(seen: list[Token], weights: Weights) -> list[Token]:
+def best_region(seen: list[Token], parts: Parts, weights: Weights) -> list[Token]:
     """The tokens of the contiguous region with the highest total score, without the parts left out."""
-    out = left_out(seen)
+    out = left_out(seen, parts)
     held = any(t.held and t.text is not None and not t.never and t.named not in out and not t.text.isspace() for t in seen)
     best, start, total = (0.0, 0, 0), 0, 0.0
     for at, t in enumerate(seen):
@@ -323,9 +414,9 @@ def text_of(region: list[Token]) -> str:
     return "\n".join(out)
 
 
-def named_words(page: str | None) -> Iterator[tuple[str, bool, int]]:
+def named_words(page: str | None, bit: int) -> Iterator[tuple[str, bool, int]]:
     """(part of a name, inside the marked article, words) of the innermost and the outermost named element of each text of a page."""
-    container = container_of((page or "").lower())
+    container = {1: "article", 2: "main"}.get(bit, "")
     stack, names, at = Stack(), {}, 0
     for m in TOKEN.finditer(page or ""):
         words, at = len(page[at : m.start()].split()), m.end()
@@ -344,7 +435,7 @@ def named_words(page: str | None) -> Iterator[tuple[str, bool, int]]:
         number = len(names) + 1 if parts else 0
         if parts:
             names[number] = parts
-        stack.push(name, False, number)
+        stack.push(name, 0, number)
 
 
 def fit(pages: DataFrame, sample: int = 2000) -> Weights:
@@ -357,10 +448,12 @@ def fit(pages: DataFrame, sample: int = 2000) -> Weights:
         for batch in batches:
             both: tuple[Counter, Counter] = (Counter(), Counter())
             for page in batch["html"]:
-                for t in tokens(page, {}):
+                seen = seen_tokens(page, {})[0]
+                bit = container_of(list(tokens(page, {})))
+                for t in seen:
                     if not t.never and not t.named:
                         both[not t.held][kind(t)] += 1 if t.text is None else len(t.text.split())
-                for part, inside, words in named_words(page):
+                for part, inside, words in named_words(page, bit):
                     both[not inside][f"name:{part}"] += words
             rows = [(k, both[0][k], both[1][k]) for k in {*both[0], *both[1]}]
             yield pd.DataFrame(rows, columns=["kind", "inside", "outside"])
