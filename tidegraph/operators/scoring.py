@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,10 +16,42 @@ from tidegraph.functions import text as T
 from . import posts
 
 
-def score_texts(texts: DataFrame, scorer: Callable[[pd.Series], pd.Series], batch: int = 64, lang: str | None = None, partitions: int | None = None) -> DataFrame:
+#: Characters that a batch of texts takes when all are padded to its longest.
+AREA = 64 * 4096
+
+
+class Resource:
+    """A scorer or judge that ``factory`` makes, such as by loading a model, once in each Python worker however many tasks run there.
+
+    It stays until the worker ends.  Pass it where a batch function is asked for.
+    """
+
+    def __init__(self, factory: Callable[[], Callable]):
+        self.factory, self.name = factory, uuid.uuid4().hex
+
+    def __call__(self, rows):
+        opened = sys.__dict__.setdefault("_opened_resources", {})  # this class travels by value, so its own module is no place to keep things
+        if self.name not in opened:
+            opened[self.name] = self.factory()
+        return opened[self.name](rows)
+
+
+def by_area(lengths: list[int], rows: int, area: int) -> Iterator[slice]:
+    """Batches of texts in order of length: at most ``rows``, and with padding at most ``area`` characters (a longer text goes alone)."""
+    start, longest = 0, 0
+    for i, n in enumerate(lengths):
+        longest = max(longest, n)
+        if i > start and (i - start == rows or (i - start + 1) * longest > area):
+            yield slice(start, i)
+            start, longest = i, n
+    if start < len(lengths):
+        yield slice(start, len(lengths))
+
+
+def score_texts(texts: DataFrame, scorer: Callable[[pd.Series], pd.Series], batch: int = 64, lang: str | None = None, partitions: int | None = None, area: int = AREA) -> DataFrame:
     """(id, score) by a user's batch function; texts of like length go together, so that padding is small.
 
-    Other languages than ``lang`` get a null score.
+    A call has at most ``batch`` texts and ``area`` characters with padding.  Other languages than ``lang`` get a null score.
     """
     rows = texts.select("id", "text", (F.lit(True) if lang is None else F.coalesce(F.col("lang") == lang, F.lit(False))).alias("wanted"), F.length("text").alias("n"))
     ranged = rows.repartitionByRange(partitions, "n", "id") if partitions else rows.repartitionByRange("n", "id")
@@ -25,8 +60,8 @@ def score_texts(texts: DataFrame, scorer: Callable[[pd.Series], pd.Series], batc
         for b in batches:
             out = pd.Series(float("nan"), index=b.index, dtype=float)
             some = b.index[b["wanted"] & b["text"].notna()]
-            for i in range(0, len(some), batch):
-                at = some[i : i + batch]
+            for piece in by_area(b.loc[some, "n"].tolist(), batch, area):
+                at = some[piece]
                 out.loc[at] = pd.Series(list(scorer(b.loc[at, "text"])), index=at, dtype=float)
             yield pd.DataFrame({"key": b["key"], "score": out.astype(object).where(out.notna(), None)})
 
@@ -45,13 +80,19 @@ def mock_scorer(texts: pd.Series) -> pd.Series:
     return (1.1 - n / 400.0).clip(0.4, 1.2)
 
 
-def judge_claims(claims: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """Verdict, confidence and reasoning of (id, text, date, evidence) rows by a user's batch function; veracity follows (T5)."""
+def judge_claims(claims: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], batch: int | None = None, at_once: int = 1) -> DataFrame:
+    """Verdict, confidence and reasoning of (id, text, date, evidence) rows by a user's batch function; veracity follows (T5).
+
+    A judge that waits for an answer can have ``at_once`` calls of ``batch`` rows open in a task.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = judge(b)
-            yield pd.DataFrame({"key": b["key"], "verdict": out["verdict"], "confidence": out["confidence"], "reasoning": out["reasoning"]})
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                step = batch or max(1, len(b))
+                pieces = [b.iloc[i : i + step] for i in range(0, len(b), step)]
+                for piece, out in zip(pieces, pool.map(judge, pieces), strict=True):
+                    yield pd.DataFrame({"key": piece["key"], "verdict": out["verdict"], "confidence": out["confidence"], "reasoning": out["reasoning"]})
 
     keyed = claims.select(F.to_json(F.struct("id")).alias("key"), "text", "date", "evidence")
     done = keyed.mapInPandas(run, "key string, verdict string, confidence double, reasoning string")

@@ -150,6 +150,24 @@ def sample_estimates(scores: DataFrame, posts: DataFrame, k: int = 1000) -> Data
     return out.select("n", "sampled", "avg_chars", (share * 100).alias("bot_pct"), (share * F.col("n")).alias("bots_estimate"))
 
 
+def text_lengths(scores: DataFrame, posts: DataFrame, k: int = 1000) -> DataFrame:
+    """Mean and upper median of characters in a systematic sample of k scored posts (``k`` = 0: in all), and mean tokens.
+
+    Where tokens were not counted (a mean of five or fewer) they are estimated from the characters.  Posts without
+    content don't count; without any, lengths are 0.
+    """
+    valid = scores.withColumn("p", S.present(F.col("probability"))).where("p IS NOT NULL").select("id", "ntokens", F.lit(1).alias("g"))
+    some = systematic(valid.select("id", "g"), k, ["g"]) if k else valid
+    chars = cut(posts.join(some.select("id"), "id").where(F.length("content") > 0).select(F.length("content").alias("chars")))
+    out = chars.agg(F.coalesce(F.avg("chars"), F.lit(0.0)).alias("avg_chars")).crossJoin(upper_median(chars, "chars", "median_chars")).crossJoin(valid.agg(F.avg("ntokens").alias("tokens")))
+    tokens = F.when(F.col("tokens") > 5, F.col("tokens")).otherwise(F.bround(F.col("avg_chars") / CHARS_A_TOKEN))
+    return out.select("avg_chars", F.coalesce("median_chars", F.lit(0)).alias("median_chars"), tokens.alias("avg_tokens"))
+
+
+#: Fixed value: characters that stand for a token.
+CHARS_A_TOKEN = 4.2
+
+
 def top_domains(posts: DataFrame, k: int = 8) -> DataFrame:
     """The domains with most of these posts."""
     return posts.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(k)

@@ -443,7 +443,7 @@ def p4_claim_pipeline(t):
 
 def _drops(t, df, name: str, parts: int = 4) -> str:
     path = scratch(t.spark, name)
-    df.repartition(parts, df[df.columns[0]]).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    df.repartition(parts, df[df.columns[0]]).write.json(path)
     return path
 
 
@@ -483,9 +483,9 @@ def x1_since_cursor(t):
     return t.spark.read.parquet(target).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
 
 
-@query("SELECT event_id AS id, ts AS created_at, props AS raw FROM events WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 DAY FROM events)")
+@query("SELECT event_id AS id, date_trunc('milliseconds', ts) AS created_at, props AS raw FROM events WHERE date_trunc('milliseconds', ts) <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 DAY FROM events)")
 def x4_due_posts(t):
-    """Posts that the stream has left ten days behind, each once, with their newest counters, whatever order and repeats they came in."""
+    """Posts (times in milliseconds, as JSON has them) that the stream has left ten days behind, each once, with their newest counters, whatever order and repeats they came in."""
     rows = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("props").alias("raw"))
     seen = rows.withColumn("seen_at", F.col("created_at") + F.expr("interval 2 hours"))
     both = seen.unionByName(rows.withColumn("raw", F.lit("{}")).withColumn("seen_at", F.col("created_at"))).unionByName(seen.where("id % 3 = 0"))

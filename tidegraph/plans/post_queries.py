@@ -296,6 +296,23 @@ def a6_sample_estimates(t):
     return statistics.sample_estimates(t.scores_fast, seen)
 
 
+LENGTHS = """WITH v AS (SELECT id, ntokens FROM v_scores_fast WHERE NOT isnan(probability)), s AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rn, count(*) OVER () AS n FROM v),
+k AS (SELECT DISTINCT s.id FROM s JOIN range(1000) r(i) ON n > 1000 AND rn = i * n // 1000 UNION SELECT id FROM s WHERE n <= 1000),
+c AS (SELECT length(content) AS chars FROM v_posts JOIN k USING (id) WHERE length(content) > 0), m AS (SELECT chars, row_number() OVER (ORDER BY chars) - 1 AS rn, count(*) OVER () AS n FROM c)
+SELECT coalesce(avg(chars), 0) AS avg_chars, (SELECT chars FROM m WHERE rn = n // 2) AS median_chars, {} AS avg_tokens FROM c"""
+
+
+@query(LENGTHS.format("(SELECT avg(ntokens) FROM v)"))
+def a6_text_lengths(t):
+    return statistics.text_lengths(t.scores_fast, t.posts)
+
+
+@query(LENGTHS.format("round_even(avg(chars) / 4.2e0, 0)"))
+def a6_estimated_tokens(t):
+    """The same where tokens were not counted."""
+    return statistics.text_lengths(t.scores_fast.withColumn("ntokens", F.lit(1)), t.posts)
+
+
 @query("SELECT i.domain, count(*) AS n FROM v_posts p JOIN v_accounts a ON a.id = p.account_id JOIN v_instances i ON i.id = p.instance_id WHERE deleted_at IS NULL GROUP BY 1 ORDER BY n DESC, domain LIMIT 8")
 def a6_top_domains(t):
     return statistics.top_domains(posts.with_authors(t.posts, t.accounts, t.instances))

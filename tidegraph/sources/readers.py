@@ -63,6 +63,21 @@ def relational(spark: SparkSession, path: str | None = None, jdbc: dict | None =
     return spark.read.format("jdbc").options(**jdbc).load() if jdbc else spark.read.parquet(path)
 
 
+def database(spark: SparkSession, url: str, table: str, key: str, rows_a_task: int = 500_000, **options: str) -> DataFrame:
+    """A table of a database in ranges of a numeric key, as many as its rows need; filters on it are the database's work.
+
+    Ranges are of equal width between the least and the greatest key; null keys come with the first.
+    """
+    quote = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    one = {"url": url, **options}
+    ends = spark.read.format("jdbc").options(query=f"SELECT min({quote(key)}) AS lo, max({quote(key)}) AS hi, count(*) AS n FROM {table}", **one).load().first()
+    lo, hi, n = ends  # by place: databases differ in the case of names
+    if lo is None or lo == hi or n <= rows_a_task:
+        return relational(spark, jdbc={"dbtable": table, **one})
+    parts = min(-(-n // rows_a_task), int(hi) - int(lo) + 1)
+    return relational(spark, jdbc={"dbtable": table, "partitionColumn": key, "lowerBound": str(int(lo)), "upperBound": str(int(hi) + 1), "numPartitions": str(parts), **one})
+
+
 def topics(lines: DataFrame) -> DataFrame:
     """(name, queries) of topic lines (line_no, value): 'Name: a, b', comments and blanks out, the first line of a name wins."""
     line = F.trim(F.regexp_replace("value", "^﻿", ""))
