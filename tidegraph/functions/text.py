@@ -36,7 +36,9 @@ def decode_references(text: Column) -> Column:
     The text is split at its ampersands; what follows one is looked up by name (up to a semicolon, else the longest
     old name that it begins with) or taken as a number.  Other ampersands stay.
     """
-    closed = _lookup({k: v for k, v in entities.html5.items() if k.endswith(";")})
+    # one map for each first letter ('A' is 65, 'z' 122): a lookup looks through its map
+    closed = F.array(*[_lookup({k: v for k, v in entities.html5.items() if k.endswith(";") and ord(k[0]) == c}) for c in range(65, 123)])
+    named = lambda name: F.get(closed, F.ascii(name) - 65)[name]
     old = {k: v for k, v in entities.html5.items() if not k.endswith(";")}
     prefix = f"^({'|'.join(sorted(old, key=len, reverse=True))})"
     low = F.split(F.lit("\x01".join(html.unescape(f"&#{n};") for n in range(256))), "\x01")
@@ -56,13 +58,14 @@ def decode_references(text: Column) -> Column:
         rest = F.regexp_replace(part, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", "")
         return (
             F.when(decimal != "", F.concat(number(decimal, 10), rest)).when(hexa != "", F.concat(number(hexa, 16), rest))
-            .when((name != "") & closed[name].isNotNull(), F.concat(closed[name], after(name)))
+            .when((name != "") & named(name).isNotNull(), F.concat(named(name), after(name)))
             .when(short != "", F.concat(_lookup(old)[short], after(short))).otherwise(F.concat(F.lit("&"), part))
         )
 
-    parts = F.split(text, "&")
-    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
-    return F.when(text.contains("&"), joined).otherwise(text)
+    def joined(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
+
+    return F.get(F.transform(F.array(F.split(text, "&")), joined), F.lit(0))  # a list of one binds the parts, so that ``text`` is computed once
 
 
 def clean_html_basic(content: Column) -> Column:
