@@ -131,6 +131,30 @@ def test_directions_and_times_by_hand(spark):
     assert got == {(1, 2): (1, 1, 0, 0, 0), (1, 3): (1, 1, 0, 0, 0), (1, 4): (1, 0, 1, 0, 0), (4, 5): (2, 0, 0, 2, 0), (6, 1): (1, 0, 0, 0, 1)}
 
 
+def test_mentions_are_summed_before_their_copies_are_looked_up(spark):
+    instances, people, statuses, _, mentions, _ = network(spark)
+    fused = project.fused_accounts(people, instances)
+    weights = lambda df: {(r.src, r.dst): (r.weight, r.w_mention, r.first_ts, r.last_ts) for r in project.user_graph([df], fused, ("mention",)).collect()}
+    said = mentions.unionByName(mentions).unionByName(spark.createDataFrame([(10, "u5"), (10, "u1")], mentions.schema))
+    short = project.mention_node_edges(statuses, said, fused, instances)
+    assert {(r.src, r.dst): r.weight for r in short.collect()} == {(4, 5): 4, (1, 5): 2, (1, 1): 1}  # one row a name, not one a copy
+    assert weights(short) == weights(project.mention_edges(statuses, said, fused, instances)) != {}
+    plan = project.mention_edges(statuses, said, fused, instances)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # rows by copy are not shuffled again
+
+
+def test_components_leave_only_what_their_result_reads(spark, tmp_path):
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        path = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        got = connected_components(path.unionByName(spark.createDataFrame([(500, 500)], "src long, dst long")))
+        assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(201)} | {(500, 500)}
+        assert len(list(tmp_path.glob("*/table-*"))) == 2  # the edges and the last round
+    finally:
+        spark.sparkContext._jsc.setCheckpointDir(before)
+
+
 def test_listings_leave_deleted_posts_out_and_name_the_posts_server(spark):
     instances, people, statuses, *_ = network(spark)
     rows = statuses.withColumn("instance_id", F.lit(2).cast("long")).withColumn("content", F.lit("<p>x</p>"))
