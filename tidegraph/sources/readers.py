@@ -142,15 +142,19 @@ def cascade(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def status_rows(raw: DataFrame, column: str = "raw") -> dict[str, DataFrame]:
-    """Statuses, accounts, hashtags and mentions of status documents; a reblogged original is a status too (one level)."""
+    """Statuses, accounts, hashtags and mentions of status documents; a reblogged original is a status too (one level).
+
+    Of several documents of a status its own goes before copies in reblogs, then the smallest by its fields (of accounts alike).
+    """
     doc = raw.select(F.from_json(column, STATUS).alias("s")).where("s.id IS NOT NULL")
     fields = ("id", "account", "content", "language", "created_at", "in_reply_to_id", "tags", "mentions")
-    own = doc.select(*[F.col(f"s.{f}").alias(f) for f in fields], F.col("s.reblog.id").alias("reblog_of"))
-    inner = doc.where("s.reblog.id IS NOT NULL").select(*[F.col(f"s.reblog.{f}").alias(f) for f in fields], F.lit(None).cast("string").alias("reblog_of"))
-    every = own.unionByName(inner).dropDuplicates(["id"])
+    own = doc.select(*[F.col(f"s.{f}").alias(f) for f in fields], F.col("s.reblog.id").alias("reblog_of"), F.lit(0).alias("copy"))
+    inner = doc.where("s.reblog.id IS NOT NULL").select(*[F.col(f"s.reblog.{f}").alias(f) for f in fields], F.lit(None).cast("string").alias("reblog_of"), F.lit(1).alias("copy"))
+    both = own.unionByName(inner)
+    every = both.groupBy("id").agg(F.min(F.struct("copy", *[c for c in both.columns if c not in ("id", "copy")])).alias("x")).select("id", "x.*")
     return {
         "statuses": every.select("id", F.col("account.id").alias("account_id"), "content", "language", F.try_to_timestamp("created_at").alias("created_at"), "in_reply_to_id", "reblog_of"),
-        "accounts": every.select("account.*").where("id IS NOT NULL").dropDuplicates(["id"]),
+        "accounts": every.where("account.id IS NOT NULL").groupBy("account.id").agg(F.min(F.struct("copy", "account")).alias("x")).select("x.account.*"),
         "hashtags": every.select(F.col("id").alias("status_id"), F.explode("tags").alias("t")).select("status_id", F.lower("t.name").alias("hashtag")).distinct(),
         "mentions": every.select(F.col("id").alias("status_id"), F.explode("mentions").alias("m")).select("status_id", F.col("m.acct").alias("mentioned_acct")).distinct(),
     }
