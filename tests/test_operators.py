@@ -15,6 +15,8 @@ from tidegraph.functions import scores as S
 from tidegraph.functions import text as T
 from tidegraph.operators import accounts, cascade, chains, communities, compare, merge, metrics, nullmodel, posts, project, scoring, statistics
 from tidegraph.operators.components import connected_components
+from tidegraph.operators.iterate import left_by
+from tidegraph.plans import io_queries
 from tidegraph.sources import readers, writers
 
 
@@ -359,3 +361,34 @@ def test_the_rest_works_without_the_optional_folders(tmp_path):
         for name in gone:
             os.remove(tmp_path / "r" / name)
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={**os.environ, "PYTHONPATH": ""})
+
+
+def test_a_statuss_own_document_goes_before_its_copy_in_a_reblog(spark):
+    own = '{"id": "1", "account": {"id": "7", "acct": "a"}, "tags": [{"name": "Own"}]}'
+    copy = '{"id": "2", "account": {"id": "8", "acct": "b"}, "reblog": {"id": "1", "account": {"id": "7", "acct": "0"}, "tags": [{"name": "copy"}]}}'
+    for order in ([own, copy], [copy, own]):
+        got = readers.status_rows(spark.createDataFrame([(x,) for x in order], "raw string").coalesce(1))
+        assert {tuple(r) for r in got["hashtags"].collect()} == {("1", "own")}
+        assert {(r.id, r.acct) for r in got["accounts"].collect()} == {("7", "a"), ("8", "b")}
+        assert {(r.id, r.reblog_of) for r in got["statuses"].collect()} == {("1", None), ("2", "1")}
+
+
+def test_rows_without_a_key_are_not_sent_to_one_task(spark):
+    rows = spark.range(4000).withColumn("k", F.when(F.col("id") % 100 == 0, F.col("id") % 7))
+    right = spark.createDataFrame([(i, i * 10) for i in range(5)] + [(None, 9)], "k long, v long")
+    keep = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = left_by(rows, right, "k", "id")
+        want = rows.join(right, "k", "left").select("id", "k", "v")
+        assert sorted(map(repr, got.select("id", "k", "v").collect())) == sorted(map(repr, want.collect()))
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 1300
+    finally:
+        for n, v in keep.items():
+            spark.conf.set(n, v)
+
+
+def test_documents_and_drops_grow_in_number_and_not_in_size(spark):
+    assert [io_queries._slices(n) for n in (0, 400_000, 36_000_000)] == [8, 8, 720]

@@ -16,13 +16,13 @@ def corpus(posts: DataFrame, path: str) -> None:
 
 
 def bundle(tables: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Each table as JSON lines below ``path``, and its rows (counted as they are written)."""
+    """Each table as JSON lines (gzip) below ``path``, and its rows (counted as they are written)."""
     from pyspark.sql import Observation
 
     counts = {}
     for name, df in tables.items():
         seen = Observation(f"rows_{name}")
-        df.observe(seen, F.count("*").alias("n")).write.json(f"{path}/{name}")
+        df.observe(seen, F.count("*").alias("n")).write.option("compression", "gzip").json(f"{path}/{name}")
         counts[name] = seen.get["n"]
     return counts
 
