@@ -680,3 +680,10 @@ def test_quality_ranks_held_out_documents(spark):
 def test_text_is_not_lost_to_names_and_elements(page, text):
     long = " ".join(f"word{i}" for i in range(200))
     assert html_extract.extract(page.format(long), html_extract.Weights()) == text.format(long)
+
+
+def test_numbers_of_a_block_are_kept_small_and_whole():
+    for n in (0, 1, 5000):
+        numbers = np.arange(n) % 700 * 3
+        kept = attention_lm.small(numbers)
+        assert attention_lm.large(kept, n).tolist() == numbers.tolist() and (n < 5000 or len(kept) < n)
