@@ -145,6 +145,39 @@ def test_mentions_are_summed_before_their_copies_are_looked_up(spark):
     assert plan.index("Join") < plan.index("Aggregate")  # rows by copy are not shuffled again
 
 
+def test_graph_from_the_tables_sums_once_by_nodes(spark):
+    instances, people, statuses, reblogs, mentions, follows = network(spark)
+    fused = project.fused_accounts(people, instances)
+    said = mentions.unionByName(spark.createDataFrame([(10, "u5"), (10, "u1"), (11, "nobody")], mentions.schema))
+    strangers = reblogs.unionByName(spark.createDataFrame([(10, 99), (99, 2), (10, 7), (10, 1)], reblogs.schema))
+    parts = [project.boost_edges(statuses, strangers), project.reply_edges(statuses), project.mention_edges(statuses, said, fused, instances), project.follow_edges(follows)]
+    kinds = ("boost", "reply", "mention", "follow")
+    rows = lambda df: {tuple(r[c] for c in sorted(df.columns)) for r in df.collect()}
+    got = project.graph_of(fused, statuses, strangers, said, instances, follows)
+    assert rows(got) == rows(project.user_graph(parts, fused, kinds)) and got.count() == 6
+    assert rows(project.graph_of(fused, statuses, strangers)) == rows(project.user_graph(parts[:2], fused, kinds[:2])) != set()
+    plan = project.graph_of(fused, statuses, strangers)._jdf.queryExecution().optimizedPlan().toString()
+    sums = [x for x in plan.splitlines() if "Aggregate" in x]
+    assert len([x for x in sums if "src" in x]) == 1  # no sums by pairs of accounts before
+
+
+def test_graph_is_computed_once_for_its_figures(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([(1, 2, 3), (2, 1, 1), (2, 3, 2)], "src long, dst long, weight long").mapInPandas(seen, "src long, dst long, weight long")
+    part = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, community long")
+    assert metrics.modularity(edges, part).first()[0] == pytest.approx(4 / 6 - (10 * 10 + 2 * 2) / (4 * 36))
+    assert runs.value == 3
+    got = project.top_subgraph(part, edges, top=2)[1]
+    assert {(r.src, r.dst, r.weight) for r in got.collect()} == {(1, 2, 3), (2, 1, 1)}
+    assert runs.value == 6
+
+
 def test_components_leave_only_what_their_result_reads(spark, tmp_path):
     before = spark.sparkContext.getCheckpointDir()
     spark.sparkContext.setCheckpointDir(str(tmp_path))
