@@ -21,6 +21,28 @@ def test_cursor_survives_a_restart(spark, tmp_path):
     assert sorted(map(repr, map(tuple, spark.read.parquet(target).select("id", "host", "note").collect()))) == sorted(map(repr, [(1, "a", "x"), (big + 1, "b", None), (2, "a", "y"), (5, None, "z")]))
 
 
+def test_cursors_are_kept_in_groups_of_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "CURSOR_GROUPS", 8, raising=False)
+    path, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = "id long, host string"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # repeats come in different batches of a group
+    try:
+        cursor, want = {}, set()
+        for rows in ([(i, f"h{i % 300}") for i in range(600)] * 2, [(i, f"h{i % 330}") for i in range(300, 990)] + [(900, None), (900, None), (899, None)]):
+            drop(spark, path, rows, schema)
+            query = jobs.append_log(jobs.since_cursor(jobs.drops(spark, path, schema), ["host"], "id"), target, mark)
+            query.awaitTermination()
+            want |= {r for r in rows if r[0] > cursor.get(r[1], -1)}
+            for i, host in rows:
+                cursor[host] = max(cursor.get(host, -1), i)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = [(r.id, r.host) for r in spark.read.parquet(target).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert 0 < sum(s["numRowsTotal"] for s in query.recentProgress[-1]["stateOperators"]) <= 8
+
+
 def test_posts_fall_due_once(spark, tmp_path):
     path, target, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
     schema = "id long, created_at timestamp, raw string, seen_at timestamp"

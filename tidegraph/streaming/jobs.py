@@ -84,30 +84,46 @@ def append_log(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuer
     return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Groups that the keys of a cursor are dealt to; each is looked at in one go and holds the cursors of its keys.
+CURSOR_GROUPS = 1024
+
+
 def since_cursor(stream: DataFrame, key: list[str], newest: str) -> DataFrame:
     """Rows beyond the cursor of their key, the greatest ``newest`` (a long) that earlier batches had.
 
     The cursor is state of the query, one number a key however many rows were seen; a batch without rows
     of a key leaves its cursor as it is, and a restart goes on from it.  Repeats inside a batch come once;
-    rows without ``newest`` can't be placed and are left out; null keys are keys.
+    rows without ``newest`` can't be placed and are left out; null keys are keys.  Keys are dealt to
+    ``CURSOR_GROUPS`` groups, so that there is no call of Python for each key.
     """
     rows = stream.where(F.col(newest).isNotNull())
     schema = rows.schema
     keyed = rows.select(F.to_json(F.struct(*key)).alias("key"), F.col(newest).alias("at"), F.to_json(F.struct(*rows.columns)).alias("row"))
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(CURSOR_GROUPS)))
 
     def beyond(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (cursor,) = state.get if state.exists else (-(2**63),)
-        top, seen = cursor, set()
+        names, tops = state.get if state.exists else ([], [])
+        cursor = pd.Series(list(tops), index=pd.Index(list(names), dtype=object), dtype="int64")
+        seen: pd.DataFrame | None = None
         for b in batches:
-            b = b[b["at"] > cursor].drop_duplicates("at")
-            b = b[~b["at"].isin(seen)]
+            place = cursor.index.get_indexer(b["key"])
+            known = place >= 0
+            fresh = ~known
+            if known.any():
+                fresh[known] = b["at"].to_numpy()[known] > cursor.to_numpy()[place[known]]
+            b = b[fresh].drop_duplicates(["key", "at"])
+            if seen is not None and len(b):
+                both = pd.concat([seen, b[["key", "at"]]], ignore_index=True)
+                b = b[~both.duplicated().to_numpy()[len(seen) :]]
             if len(b):
-                seen.update(b["at"])
-                top = max(top, int(b["at"].max()))
+                seen = b[["key", "at"]] if seen is None else pd.concat([seen, b[["key", "at"]]], ignore_index=True)
                 yield b[["row"]]
-        state.update((top,))
+        if seen is not None:
+            new = seen.groupby("key")["at"].max()  # beyond the cursors that there were
+            cursor = pd.concat([cursor[~cursor.index.isin(new.index)], new])
+        state.update((cursor.index.tolist(), cursor.tolist()))
 
-    out = keyed.groupBy("key").applyInPandasWithState(beyond, "row string", "cursor long", "append", GroupStateTimeout.NoTimeout)
+    out = keyed.groupBy("bucket").applyInPandasWithState(beyond, "row string", "names array<string>, tops array<long>", "append", GroupStateTimeout.NoTimeout)
     return out.select(F.from_json("row", schema).alias("r")).select("r.*")
 
 
