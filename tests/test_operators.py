@@ -161,6 +161,19 @@ def test_graph_from_the_tables_sums_once_by_nodes(spark):
     assert len([x for x in sums if "src" in x]) == 1  # no sums by pairs of accounts before
 
 
+def test_few_accounts_go_to_the_rows(spark):
+    instances, people, statuses, reblogs, mentions, follows = network(spark)
+    fused = project.fused_accounts(people, instances)
+    said = mentions.unionByName(mentions).unionByName(spark.createDataFrame([(10, "u5"), (10, "u1"), (11, "nobody")], mentions.schema))
+    strangers = reblogs.unionByName(spark.createDataFrame([(10, 99), (99, 2), (10, 7), (10, 1)], reblogs.schema))
+    rows = lambda df: {tuple(r[c] for c in sorted(df.columns)) for r in df.collect()}
+    graph = lambda few: project.graph_of(fused, statuses, strangers, said, instances, follows, few=few)
+    assert rows(graph(True)) == rows(graph(False)) != set()
+    plan = graph(True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 10 > graph(False)._jdf.queryExecution().optimizedPlan().toString().count("(strategy=broadcast)")  # authors by use, boosters, names, both ends of follows
+    assert "canon" not in "".join(x for x in plan.splitlines() if "Aggregate" in x and "src" in x)  # mentions are not summed by name
+
+
 def test_graph_is_computed_once_for_its_figures(spark):
     runs = spark.sparkContext.accumulator(0)
 
