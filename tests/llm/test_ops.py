@@ -3,11 +3,13 @@
 import collections
 import random
 import re
+import types
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.oracle import both
 from tidegraph.llm import attention_lm, compression_classifier, decontaminate, html_extract, language_id, line_dedup, minhash, mixing, quality_rules, queries, warc
@@ -123,6 +125,15 @@ def test_scores_do_not_hang_on_blocks_and_ids_stay_whole(spark):
     assert len(held) == len(rows) and all(r.train_tokens == r.n_known == 0 and r.score < 0 for r in held)
 
 
+def test_blocks_are_read_without_the_table_of_shares():
+    m = attention_lm.train([list(range(200)) * 3], 230, steps=2)
+    kept = []
+    docs = types.SimpleNamespace(schema=T.StructType([T.StructField("doc_id", T.LongType())]), select=lambda *_: types.SimpleNamespace(mapInArrow=lambda f, _: kept.append(f)))
+    attention_lm.read_blocks(docs, m, "")
+    sent = next(c.cell_contents for c in kept[0].__closure__ if isinstance(c.cell_contents, attention_lm.Model))
+    assert sent.after.nbytes == 0 < m.after.nbytes and sent.w is m.w
+
+
 def test_pair_counts_grow_with_the_corpus(spark):
     path = attention_lm.tokenizer_path()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(sample(60, 40, 71))], DOCS).withColumn("held_out", F.lit(False))
@@ -173,6 +184,16 @@ def test_scores_by_brute_force():
         assert got[0] == pytest.approx(sum(token_scores(m, tokens)), rel=1e-4)
 
 
+def test_tables_give_the_layers_logits():
+    rng = np.random.default_rng(4)
+    m = attention_lm.train([list(rng.integers(0, 2000, 900)) for _ in range(6)], 2100, steps=15)
+    tokens, start, size = rng.integers(0, 2100, 500), np.array([0]), np.array([500])
+    assert (m.row[tokens] < attention_lm.ROWS).any() and (m.row[tokens] >= attention_lm.ROWS).any()
+    rows, before, _, _ = attention_lm.targets(tokens, *attention_lm.windows(size), start, size, m)
+    got = attention_lm.logits_of(attention_lm.tables(m), rows)
+    assert np.allclose(got, attention_lm.forward(m.w, rows, before)[0], atol=1e-4)
+
+
 def test_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(0)
     texts = [list(rng.integers(0, 300, 90)) for _ in range(30)]
