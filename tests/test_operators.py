@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import scores as S
 from tidegraph.functions import text as T
 from tidegraph.operators import accounts, cascade, chains, communities, compare, merge, metrics, nullmodel, posts, project, scoring, statistics
-from tidegraph.operators.components import connected_components
+from tidegraph.operators.components import connected_components, contracted
 from tidegraph.operators.iterate import left_by
 from tidegraph.plans import io_queries
 from tidegraph.sources import readers, writers
@@ -438,3 +438,31 @@ def test_rows_without_a_key_are_not_sent_to_one_task(spark):
 
 def test_documents_and_drops_grow_in_number_and_not_in_size(spark):
     assert [io_queries._slices(n) for n in (0, 400_000, 36_000_000)] == [8, 8, 720]
+
+
+def test_contracted_links_have_the_same_components(spark):
+    rng = random.Random(17)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] * 3 + [(900 + i, 901 + i) for i in range(20)] + [(950, 950), (951, None), (None, 3)]
+    links += [(a, b) for a in range(1000, 1040) for b in range(1000, 1040)]
+    edges = spark.createDataFrame(links, "src long, dst long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    short = contracted(edges)
+    assert rows(connected_components(short, spark.range(1100), "u", "v")) == rows(connected_components(edges, spark.range(1100)))
+    assert rows(connected_components(short, None, "u", "v")) == rows(connected_components(edges))
+    assert short.where("u >= 1000").count() == 40  # of 1,600
+    assert contracted(edges.limit(0)).count() == 0
+
+
+def test_components_shuffle_no_link_of_the_graph(spark, monkeypatch):
+    from tidegraph.fixtures import Tables
+    from tidegraph.plans import graph_queries as q
+
+    t, seen = Tables(spark, "/root/testdata/sf0.001"), []
+    monkeypatch.setattr(q, "contracted", lambda pairs, *ends: seen.append(pairs) or contracted(pairs, *ends))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    g = q.Graph(t)
+    for every, edges in ((True, g.edges(follows=True)), (False, g.diffusion())):
+        assert rows(connected_components(g.links(every), g.nodes().select("id"))) == rows(connected_components(edges, g.nodes().select("id")))
+        assert rows(seen[-1].distinct()) == rows(edges.select("src", "dst"))
+        plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Aggregate" in x and ("status_id" in x or "follower" in x or "src" in x)]  # neither repeats nor pairs are summed
