@@ -466,3 +466,16 @@ def test_components_shuffle_no_link_of_the_graph(spark, monkeypatch):
         assert rows(seen[-1].distinct()) == rows(edges.select("src", "dst"))
         plan = seen[-1]._jdf.queryExecution().optimizedPlan().toString()
         assert not [x for x in plan.splitlines() if "Aggregate" in x and ("status_id" in x or "follower" in x or "src" in x)]  # neither repeats nor pairs are summed
+
+
+def test_mentions_are_made_distinct_by_the_key_of_their_join(spark):
+    from tidegraph import plans
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = plans.QUERIES["j8_mention_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning(status_id" in x]
+    assert len(shuffles) == 2 and "mentioned_acct" not in "".join(shuffles)  # mentions and statuses, once each
