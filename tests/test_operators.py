@@ -15,7 +15,7 @@ from tidegraph.functions import scores as S
 from tidegraph.functions import text as T
 from tidegraph.operators import accounts, cascade, chains, communities, compare, merge, metrics, nullmodel, posts, project, scoring, statistics
 from tidegraph.operators.components import connected_components, contracted
-from tidegraph.operators.iterate import left_by
+from tidegraph.operators.iterate import cut, left_by, rows_in
 from tidegraph.plans import io_queries
 from tidegraph.sources import readers, writers
 
@@ -479,3 +479,19 @@ def test_mentions_are_made_distinct_by_the_key_of_their_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning(status_id" in x]
     assert len(shuffles) == 2 and "mentioned_acct" not in "".join(shuffles)  # mentions and statuses, once each
+
+
+def test_methods_share_their_mergers_and_moves(spark, monkeypatch):
+    """What refines begins where plain modularity ends, so nodes are moved twice for three methods; equal to each method alone."""
+    pairs = [(a, b) for k in (0, 5) for a in range(k, k + 5) for b in range(k, k + 5) if a != b] + [(0, 5), (5, 0)]
+    edges, nodes = cut(spark.createDataFrame(pairs, "src long, dst long").withColumn("weight", F.lit(1).cast("long"))), cut(spark.range(10))
+    assert (rows_in(edges), rows_in(nodes), rows_in(spark.range(7))) == (42, 10, 7)
+    moved, real = [], communities._moved
+    monkeypatch.setattr(communities, "_moved", lambda *a: moved.append(1) or real(*a))
+    settings = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    flow, found = communities.by_methods(edges, nodes)
+    assert len(moved) == 2 and settings == {k: spark.conf.get(k) for k in settings}
+    assert abs(flow.agg(F.sum("flow")).first()[0] - 1) < 1e-9
+    groups = lambda df: sorted(sorted(r.ids) for r in df.groupBy("community").agg(F.collect_list("id").alias("ids")).collect())
+    assert set(found) == {"modularity", "refined", "flow"} and all(groups(p) == [[0, 1, 2, 3, 4], [5, 6, 7, 8, 9]] for p in found.values())
+    assert groups(communities.modularity_communities(edges, nodes, refine=True)) == groups(found["refined"])

@@ -22,14 +22,16 @@ that go through the same rounds together.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics
 from .components import connected_components
-from .iterate import cut, forget, sized, with_graph
+from .iterate import cut, forget, rows_in, sized, with_graph
 
 #: The least gain that counts: in modularity (of 1), or in bits.
 LEAST = 1e-9
@@ -41,6 +43,8 @@ SHARES = 6
 FEW = 0.25
 #: Up to this many nodes all are looked at in each round.
 MANY = 10_000
+#: Mergers whose names are looked up in one plan.
+STEPS = 8
 
 
 def _plogp(x: Column) -> Column:
@@ -141,7 +145,7 @@ COLUMNS = ("g", "id", "community", "a", "b", "inner", "active")
 def _moved(goal, links: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
     """(g, id, community) where moves of nodes gain no more, beginning with the communities of ``nodes`` (g, id, community, a, b)."""
     state = cut(nodes.select("g", "id", "community", "a", "b", F.lit(0.0).alias("inner"), F.lit(True).alias("active")), few)
-    size, full = state.count(), True
+    size, full = rows_in(state), True
     before, scores, tried, careful, settled = None, {}, set(), set(), set()
     while size:
         some = links if full else links.join(state.where("active").select("g", F.col("id").alias("src")), ["g", "src"], "left_semi")
@@ -206,33 +210,50 @@ def _contracted(links: DataFrame, nodes: DataFrame, part: DataFrame, few: bool)
 
 def _merged(goal, links: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
     """(g, id, community): a partition of the nodes whose communities merge until no merger gains."""
-    whole = cut(part.select("g", "id", "community"))
-    n = max(links.count(), nodes.count())
+    whole, steps = cut(part.select("g", "id", "community")), []
+    n = max(rows_in(links), rows_in(nodes))
     with sized(links.sparkSession, n) as few:
         links, nodes = _contracted(links, nodes, whole, few)
     while True:
-        with sized(links.sparkSession, max(links.count(), nodes.count())) as few:
+        with sized(links.sparkSession, max(rows_in(links), rows_in(nodes))) as few:
             ends = nodes.select("g", F.col("id").alias("community"), "a", F.col("b").alias("q"))
             sums = nodes.groupBy("g").agg(F.sum("b").alias("all"))
             options = links.join(nodes.select("g", F.col("id").alias("src"), "a", "b"), ["g", "src"])
             options = options.select("g", F.col("src").alias("id"), F.col("src").alias("home"), F.col("dst").alias("community"), "a", "b", "to", "back", F.lit(0.0).alias("home_to"), F.lit(0.0).alias("home_back"))
             offers = cut(_best(goal, options, {"home": ends, "community": ends}, F.broadcast(sums)), few)
-            if offers.isEmpty():
-                return whole
-            taken = cut(_taken(goal, offers, []), few)
-            step = cut(nodes.select("g", "id").join(taken, ["g", "id"], "left").select("g", "id", F.coalesce("next", "id").alias("community")), few)
-            last, whole = whole, cut(whole.join(step.select("g", F.col("id").alias("community"), F.col("community").alias("next")), ["g", "community"]).select("g", "id", F.col("next").alias("community")))
+            if not rows_in(offers):
+                return _followed(whole, steps)
+            step = cut(nodes.select("g", "id").join(_taken(goal, offers, []), ["g", "id"], "left").select("g", "id", F.coalesce("next", "id").alias("community")), few)
             fewer = _contracted(links, nodes, step, few)
-            forget(offers, taken, step, last, links, nodes)
+            forget(offers, links, nodes)
             links, nodes = fewer
+        steps.append(step)
+        if len(steps) == STEPS:
+            whole, steps = _followed(whole, steps), []
 
 
-def _found(goal, links: DataFrame, nodes: DataFrame, refine: bool = False) -> DataFrame:
-    """(g, id, community): mergers from single nodes, then moves; with ``refine`` the connected pieces of what moved merge again."""
+def _followed(part: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """A partition (g, id, community) whose communities merged in some steps (g, id, community), one after the other."""
+    if not steps:
+        return part
+    out = part
+    for step in steps:
+        out = out.join(step.select("g", F.col("id").alias("community"), F.col("community").alias("next")), ["g", "community"]).select("g", "id", F.col("next").alias("community"))
+    out = cut(out)
+    forget(part, *steps)
+    return out
+
+
+def _found(goal, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, id, community): mergers from single nodes, then moves."""
     part = _merged(goal, links, nodes, nodes.select("g", "id", F.col("id").alias("community")))
-    with sized(links.sparkSession, max(links.count(), nodes.count())) as few:
-        part = _moved(goal, cut(links, True) if few else links, nodes.join(part, ["g", "id"]), few)
-    return _merged(goal, links, nodes, cut(_pieces(links, part))) if refine else part
+    with sized(links.sparkSession, max(rows_in(links), rows_in(nodes))) as few:
+        return _moved(goal, cut(links, True) if few else links, nodes.join(part, ["g", "id"]), few)
+
+
+def _refined(goal, links: DataFrame, nodes: DataFrame, part: DataFrame) -> DataFrame:
+    """(g, id, community): the connected pieces of what moved merge again."""
+    return _merged(goal, links, nodes, cut(_pieces(links, part)))
 
 
 def _pieces(links: DataFrame, part: DataFrame) -> DataFrame:
@@ -249,7 +270,24 @@ def modularity_communities(edges: DataFrame, nodes: DataFrame, gamma: float = 1.
     With ``refine`` no community is disconnected: after the moves each is cut into its connected pieces, which
     never lowers modularity, and pieces merge along links as long as that gains.
     """
-    batched = "g" in nodes.columns
+    goal, links, start = _undirected(edges, nodes, gamma)
+    part = _found(goal, links, start)
+    return _named(_refined(goal, links, start, part) if refine else part, nodes)
+
+
+def modularity_both(edges: DataFrame, nodes: DataFrame, gamma: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """G6 without and with ``refine``, which begins where the other ends: mergers and moves are made once."""
+    goal, links, start = _undirected(edges, nodes, gamma)
+    part = cut(_found(goal, links, start))
+    return _named(part, nodes), _named(_refined(goal, links, start, part), nodes)
+
+
+def _named(part: DataFrame, nodes: DataFrame) -> DataFrame:
+    return part.select(*["g"] * ("g" in nodes.columns), "id", "community")
+
+
+def _undirected(edges: DataFrame, nodes: DataFrame, gamma: float) -> tuple[Modularity, DataFrame, DataFrame]:
+    """The objective, links (g, src, dst, to, back) and nodes (g, id, a, b) of the undirected view."""
     edges, nodes = with_graph(edges), with_graph(nodes)
     flip = edges.select("g", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     both = cut(edges.select("g", "src", "dst", "weight").unionByName(flip).groupBy("g", "src", "dst").agg(F.sum("weight").cast("double").alias("w")))
@@ -258,13 +296,12 @@ def modularity_communities(edges: DataFrame, nodes: DataFrame, gamma: float = 1.
     sums = both.groupBy("g", F.col("src").alias("id")).agg(F.sum("w").alias("a"), F.sum(F.when(F.col("src") != F.col("dst"), F.col("w")).otherwise(0.0)).alias("b"))
     links = cut(both.where("src <> dst").select("g", "src", "dst", F.col("w").alias("to"), F.col("w").alias("back")))
     start = cut(nodes.select("g", "id").join(sums, ["g", "id"], "left").fillna(0.0, ["a", "b"]))
-    return _found(Modularity(gamma), links, start, refine).select(*["g"] * batched, "id", "community")
+    return Modularity(gamma), links, start
 
 
 def flow_communities(edges: DataFrame, nodes: DataFrame, flow: DataFrame | None = None) -> DataFrame:
     """(id, community) by moves that lower the codelength of a random walk on the directed graph."""
-    batched = "g" in nodes.columns
-    flow = metrics.page_rank(edges, nodes) if flow is None else flow
+    flow, given = metrics.page_rank(edges, nodes) if flow is None else flow, nodes
     edges, nodes, flow = with_graph(edges), with_graph(nodes), with_graph(flow)
     out = edges.groupBy("g", "src").agg(F.sum("weight").alias("out"))
     walked = edges.where("src <> dst").join(out, ["g", "src"]).join(flow.withColumnRenamed("id", "src"), ["g", "src"]).select("g", "src", "dst", (F.col("flow") * F.col("weight") / F.col("out")).alias("f"))
@@ -273,7 +310,31 @@ def flow_communities(edges: DataFrame, nodes: DataFrame, flow: DataFrame | None
     links = cut(there.unionByName(here).groupBy("g", "src", "dst").agg(F.sum("to").alias("to"), F.sum("back").alias("back")))
     sums = links.groupBy("g", F.col("src").alias("id")).agg(F.sum("to").alias("b"))
     start = cut(nodes.select("g", "id").join(flow.withColumnRenamed("flow", "a"), ["g", "id"]).join(sums, ["g", "id"], "left").select("g", "id", "a", F.coalesce("b", F.lit(0.0)).alias("b")))
-    return _found(Codelength(), links, start).select(*["g"] * batched, "id", "community")
+    return _named(_found(Codelength(), links, start), given)
+
+
+def by_methods(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The flow, and the partitions of all three methods.
+
+    On a graph of which one task takes a round (``sized``) jobs are short and cores idle, so flow and modularity go side by side.
+    """
+    spark = nodes.sparkSession
+
+    def by_flow() -> tuple[DataFrame, DataFrame]:
+        flow = cut(metrics.page_rank(edges, nodes))
+        return flow, cut(flow_communities(edges, nodes, flow=flow))
+
+    def by_modularity() -> list[DataFrame]:
+        return [cut(part) for part in modularity_both(edges, nodes)]
+
+    with sized(spark, max(2 * rows_in(edges), rows_in(nodes))) as few:  # settings are the session's; all rounds here are then of this size
+        if few:
+            with ThreadPoolExecutor(2) as pool:
+                jobs = [pool.submit(inheritable_thread_target(spark)(f)) for f in (by_flow, by_modularity)]
+                (flow, moved), (plain, refined) = (job.result() for job in jobs)
+        else:
+            (flow, moved), (plain, refined) = by_flow(), by_modularity()
+    return flow, {"modularity": plain, "refined": refined, "flow": moved}
 
 
 def split_disconnected(edges: DataFrame, partition: DataFrame) -> DataFrame:
