@@ -134,6 +134,23 @@ def test_blocks_are_read_without_the_table_of_shares():
     assert sent.after.nbytes == 0 < m.after.nbytes and sent.w is m.w
 
 
+def test_model_is_fitted_on_every_document_whatever_the_blocks(spark):
+    path = attention_lm.tokenizer_path()
+    long = "wombat " * 2_100_000  # more than a tenth of the characters that the sample once had
+    rows = [(None, "quokka"), (1, "a b a b"), (1, "numbat"), (2, long), (3, None)] + [(10 + i, t) for i, t in enumerate(sample(30, 30, 72))]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3, "doc_id")
+    words = attention_lm.Words(path)
+    texts = [[k for w in attention_lm.split(t) for k in words.ids(w)] + [words.end] for _, t in rows]
+    one, many = (attention_lm.fit(docs, path, steps=4, block_chars=chars) for chars in (10**9, 900))
+    assert {k for x in texts for k in x} == set(np.flatnonzero(one.column >= 0).tolist())
+    assert (one.of_class == many.of_class).all() and (one.row == many.row).all() and (one.before == many.before).all()
+    tokens, starts = np.concatenate(texts), np.cumsum([0] + [len(x) for x in texts])[:-1]
+    count = np.bincount(tokens, minlength=words.size)
+    around = np.bincount(attention_lm.neighbours(tokens, starts, attention_lm.ranks(count)), minlength=words.size * attention_lm.SIDES)
+    assert (one.of_class == attention_lm.classes_from(count, around)[0]).all()
+    assert one.after.shape[1] == (one.column >= 0).sum() and all(np.isfinite(x).all() for x in one.w.values())
+
+
 def test_pair_counts_grow_with_the_corpus(spark):
     path = attention_lm.tokenizer_path()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(sample(60, 40, 71))], DOCS).withColumn("held_out", F.lit(False))
